@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import boilerplate, encoding, mixing, neighbours, spans, splitting, tokens
+from gleanery.llm import boilerplate, encoding, mixing, neighbours, scanned, spans, splitting, tokens
 from gleanery.sources.tables import latest, table
 
 
@@ -57,6 +57,14 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.with_chunks(near, vectors.drop("embedding"), table(spark, d, "chunks", "chunk_id", "hash"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.found(_pdfs(spark, d))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.cleaned(_pdfs(spark, d)).select("clip_id", "clean")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(latest(table(spark, d, "documents", "doc_id", "text", "loaded_at"), "doc_id"))
 
@@ -103,7 +111,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_articles, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p5_neighbours,
+        p1_found, p1_articles, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p5_neighbours, p6_found, p6_clean,
         p7_ids, p8_selection, p8_shares, p9_found, p9_spans, p9_shared,
     )
 }
