@@ -36,7 +36,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     f = f.withColumn("text", text).withColumn("is_md", F.col("text").isNotNull()).drop("content")
     f = f.withColumn("fm", T.frontmatter(F.col("text"))).withColumn("body", T.body(F.col("text")))
     fm = F.col("fm")
-    date = lambda n: F.try_to_date(F.left(T.field(fm, n), F.lit(10)), F.lit("yyyy-MM-dd"))
+    date = lambda n: F.try_to_date(F.left(T.field(fm, n), F.lit(10)), "yyyy-MM-dd")
     return f.select(
         "path", F.lower(T.file_name(F.col("path"))).alias("name"), F.coalesce(T.field(fm, "title"), F.nullif(F.regexp_extract("body", r"(?m)^# +(.*?)[ \t\r]*$", 1), F.lit(""))).alias("title"),
         "is_md", "text", "fm", "body", T.field(fm, "status").alias("status"), F.when(F.col("is_md"), T.field(fm, "type")).otherwise("attachment").alias("type"),
