@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import stripped
 from gleanery.sources.tables import latest
 
 #: An element recurs on a site if so many of its pages hold it, and this share of them.
@@ -213,5 +214,5 @@ def articles(clippings: DataFrame) -> DataFrame:
     """``(clip_id, article, n_lines, n_removed)``: the main body of each page, other lines deleted, blank lines in a row merged."""
     lines = F.split("md", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i + 1))
-    body = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t\r]*\n){2,}", "\n\n"))
+    body = stripped(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t\r]*\n){2,}", "\n\n"))
     return page_lines(clippings).select("clip_id", body.alias("article"), F.size(lines).alias("n_lines"), F.size("removed").alias("n_removed"))

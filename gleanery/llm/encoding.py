@@ -37,12 +37,15 @@ READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r"
 REAL = ["cp1252", "cp1251", "cp1250", "koi8_r", "mac_roman", "iso8859_2", "cp932", "euc_jp"]
 #: Price of an operation, bonus per character put together by UTF-8, and most states looked at per word, in bits and states.
 PRICE, BONUS, STATES, DEPTH = 3.0, 9.0, 120, 4
+#: Bits that a numeric character reference costs.
+ESCAPED = 6.0
 #: What a word must gain to count, and a record's words must gain together to be taken as affected by one pair of encodings.
 WORD_GAIN, RECORD_GAIN = 4.0, 6.0
 #: A character is known if so many records, and this share of all, hold it beside others.
 KNOWN, KNOWN_SHARE = 2, 0.0005
 
 _WORD = regex.compile(r"[^ \t\n\r\f\v]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\n\r\f\v]*")
+_ESCAPE = regex.compile(r"&#(?:[xX][0-9a-fA-F]+|\d+);")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
 
 
@@ -122,11 +125,12 @@ class Plausibility:
         self.memo: dict[str, tuple[str, tuple, float]] = {}
 
     def cost(self, word: str) -> float:
+        escaped = ESCAPED * len(_ESCAPE.findall(word)) if "&#" in word else 0.0
         if word.isascii():
-            return 0.0
+            return escaped
         codes = [32] + [48 if "0" <= c <= "9" else ord(c) for c in word] + [32]
         bits = self.bits
-        return float(sum(bits[(a * 1000003 + b * 7919 + 12345) % CELLS] for a, b in zip(codes, codes[1:]) if a > 127 or b > 127))
+        return escaped + float(sum(bits[(a * 1000003 + b * 7919 + 12345) % CELLS] for a, b in zip(codes, codes[1:]) if a > 127 or b > 127))
 
     def known(self, c: str) -> bool:
         return c < "\x80" or self.counts[(ord(c) * 40503 + 777) % CELLS] >= max(KNOWN, KNOWN_SHARE * self.n)
