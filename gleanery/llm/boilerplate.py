@@ -10,7 +10,8 @@ headings, tables, quotes, code, figures or items of a list with such content.
 Scale. Elements of a page are reduced to distinct hashes before the shuffle and counted with partial sums; the flags come
 back by a join salted over ``SALT`` tasks, so one site may hold a third of all pages. Page texts are shuffled once, by id.
 
-Pages with null or empty text give no lines. Pages without a site are held against the counts over sites only. Redelivered
+Pages with null or empty text give no lines. Pages without a site are held against the counts over sites and against what
+recurs on any one site, its name included. Redelivered
 rows of a page count once (the one loaded last). Lines end at LF only; a CR before it is not part of the line.
 """
 
@@ -31,7 +32,7 @@ from gleanery.sources.tables import latest
 #: An element recurs on a site if so many of its pages hold it, and this share of them.
 SITE_PAGES, SITE_SHARE = 3, 0.02
 #: It recurs over sites if so many sites hold it, and this share of all sites.
-SITES, SITES_SHARE = 4, 0.004
+SITES, SITES_SHARE = 3, 0.0008
 SALT = 8
 
 _NUMBER = regex.compile(r"\d+")
@@ -40,7 +41,8 @@ _HEADING = regex.compile(r"^\s*(#{1,6})\s+(.*?)\s*#*\s*$")
 _LINK = regex.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _ONLY_LINKS = regex.compile(r"^\s*(?:\[[^\]]*\]\([^)]*\)\s*[|·/,»›-]*\s*)+$")
 _IMAGE = regex.compile(r"^\s*!\[[^\]]*\]\(([^)]*)\)\s*$")
-_PARTS = regex.compile(r"\s*[·|/»›>,]\s*|\s{2,}|(?<=\))\s+(?=\[)")
+_PARTS = regex.compile(r"\s*[·|/»›>,]\s*|\s?:\s+|\s{2,}|(?<=\))\s+(?=\[)")
+_LEAD = regex.compile(r"^[^:.!?]{2,40}?\s?:\s")
 _SENTENCES = regex.compile(r"(?<=[.!?…])\s+(?=\p{Lu})")
 _SENTENCE = regex.compile(r"[.!?…。！？]['\"”’»«)\]*_」』]*\s*$")
 _COUNTED = regex.compile(r"^[\p{L}\p{M}’'-]+,\s\d+\s[\p{L}\p{M}’' -]+$")
@@ -80,9 +82,18 @@ def _hash(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, dtype=object), categorize=True).view(np.int64) if texts else np.empty(0, np.int64)
 
 
-def elements(md: str, site: str | None) -> list[list[str]]:
-    """Per line of the page the masked forms to look up: the line itself first, then its parts if it has several. A page
-    whose site is unknown also gets its lines with one name masked as a site's name would be."""
+def _variants(text: str, brand: regex.Pattern | None) -> list[str]:
+    """Masked forms of an element: with the site's name masked, and as it is. Where the site is unknown, also with one name
+    masked as a site's name would be."""
+    forms = list(dict.fromkeys((masked(text, brand), masked(text, None))))
+    if brand is None:
+        forms += [masked(text[: m.start()] + "§" + text[m.end() :], None) for m in _NAME.finditer(text)][:6]
+    return forms
+
+
+def elements(md: str, site: str | None) -> list[list[list[str]]]:
+    """Per line of the page its elements: the line itself, then its parts (sentences, or what stands between separators) if it
+    has several; per element its masked forms. Blank lines have none."""
     brand = brand_of(site)
     out = []
     for line in md.split("\n"):
@@ -90,16 +101,11 @@ def elements(md: str, site: str | None) -> list[list[str]]:
         if not text:
             out.append([])
             continue
-        forms = [masked(text, brand)]
         if _long(text):
             parts = _SENTENCES.split(text)
         else:
-            parts = [p for p in _PARTS.split(_LINK.sub(r"\1  ", _MARKER.sub("", line)).strip()) if p.strip()]
-        forms += [masked(p.strip(), brand) for p in parts] if 1 < len(parts) <= 24 else [""]
-        if brand is None:
-            forms.append("\0")
-            forms += [masked(text[: m.start()] + "§" + text[m.end() :], None) for m in _NAME.finditer(text)][:6]
-        out.append(forms)
+            parts = [p.strip() for p in _PARTS.split(_LINK.sub(r"\1  ", _MARKER.sub("", line)).strip()) if p.strip()]
+        out.append([_variants(text, brand), *([_variants(p, brand) for p in parts] if 1 < len(parts) <= 24 else [])])
     return out
 
 
@@ -128,10 +134,8 @@ def keep_lines(md: str, title: str | None, recurs: list[tuple[bool, float]]) ->
             verdict.append("label" if whole or m.group(1).startswith("/static") else "text")
         elif _HEADING.match(line):
             verdict.append("title" if name and text.casefold() == name else "head+" if whole else "head")
-        elif mark.startswith("|") and mark.count("|") > 1:
+        elif mark.startswith("|") and mark.count("|") > 1 or mark.startswith(">"):
             verdict.append("text")
-        elif mark.startswith(">"):
-            verdict.append("label" if whole else "text")
         elif name and text.casefold() == name:
             verdict.append("short" if _MARKER.match(line) else "title")
         elif _COUNTED.match(text):
@@ -150,10 +154,12 @@ def keep_lines(md: str, title: str | None, recurs: list[tuple[bool, float]]) ->
     # a heading stands or falls with what follows it
     for i in range(len(lines) - 1, -1, -1):
         if verdict[i] in ("head", "head+"):
-            near = next((verdict[j] for j in range(i + 1, len(lines)) if verdict[j] != "blank"), "end")
-            after = next((verdict[j] for j in range(i + 1, len(lines)) if verdict[j] not in ("blank", "label")), "end")
+            below = [v for v in verdict[i + 1 : i + 40] if v != "blank"]
+            near = below[0] if below else "end"
+            after = next((v for v in below if v != "label"), "end")
             section = len(_HEADING.match(lines[i]).group(1)) < 3
-            verdict[i] = "text" if near == "text" or near != "short" and (after == "text" or section) else "label"
+            single = near == "short" and below[1:2] != ["short"]
+            verdict[i] = "text" if near == "text" or near != "short" and (after == "text" or section) or single and section else "label"
     return [v in ("text", "blank") for v in verdict]
 
 
@@ -165,7 +171,7 @@ def page_lines(clippings: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for clip, site, md in zip(batch["clip_id"], batch["site"], batch["md"]):
-                forms = sorted({f for line in elements(md, site) for f in line if f and f != "\0"})
+                forms = sorted({f for line in elements(md, site) for element in line for f in element})
                 out.append(pd.DataFrame({"clip_id": clip, "site": site, "e": _hash(forms)}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"clip_id": pd.Series(dtype="int64"), "site": pd.Series(dtype="object"), "e": pd.Series(dtype="int64")})
 
@@ -180,7 +186,8 @@ def page_lines(clippings: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     salted = held.withColumn("salt", salt)
     flagged = salted.join(on_site.withColumn("salt", salts), ["site", "e", "salt"], "left_semi").select("clip_id", "e")
-    flagged = flagged.unionByName(salted.join(over_sites.withColumn("salt", salts), ["e", "salt"], "left_semi").select("clip_id", "e"))
+    nameless = salted.filter("site is null").drop("site").join(on_site.select("e").distinct().withColumn("salt", salts), ["e", "salt"], "left_semi").select("clip_id", "e")
+    flagged = flagged.unionByName(nameless).unionByName(salted.join(over_sites.withColumn("salt", salts), ["e", "salt"], "left_semi").select("clip_id", "e"))
     marks = flagged.groupBy("clip_id").agg(F.collect_set("e").alias("marks"))  # at most the elements of one page
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,16 +195,16 @@ def page_lines(clippings: DataFrame) -> DataFrame:
             removed = []
             for site, title, md, marks_ in zip(batch["site"], batch["title"], batch["md"], batch["marks"]):
                 known = set() if marks_ is None else set(np.asarray(marks_).tolist())
-                forms = elements(md, site)
-                flat = [f for line in forms for f in line]
-                hit = dict(zip(flat, (h in known for h in _hash(flat).tolist())))
+                lines = elements(md, site)
+                flat = list({f for line in lines for element in line for f in element})
+                hit = {f: h in known for f, h in zip(flat, _hash(flat).tolist())}
                 name = masked(plain(title or ""), brand_of(site))
                 recurs = []
-                for line in forms:
-                    cut = line.index("\0") if "\0" in line else len(line)
-                    parts = [p for p in line[1:cut] if p]
-                    share = sum(hit[p] or bool(name) and p == name for p in parts) / len(parts) if parts else 0.0
-                    recurs.append((any(hit[f] for f in line[:1] + line[cut + 1 :]), share))
+                for line, raw in zip(lines, md.split("\n")):
+                    found = [any(hit[f] for f in element) for element in line]
+                    parts = [f or bool(name) and element[0] == name for f, element in zip(found[1:], line[1:])]
+                    led = bool(parts) and parts[0] and bool(_LEAD.match(plain(raw)))  # a recurring label and what it announces
+                    recurs.append((bool(found) and found[0], 1.0 if led and not _long(plain(raw)) else sum(parts) / len(parts) if parts else 0.0))
                 kept = keep_lines(md, title, recurs)
                 removed.append([i for i, k in enumerate(kept, 1) if not k])
             yield pd.DataFrame({"clip_id": batch["clip_id"], "removed": removed, "md": batch["md"]})

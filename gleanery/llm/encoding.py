@@ -35,12 +35,14 @@ CELLS = 1 << 20
 #: Encodings a text may have been read in wrongly, and those it may really have been in.
 READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "iso8859_2"]
 REAL = ["cp1252", "cp1251", "cp1250", "koi8_r", "mac_roman", "iso8859_2", "cp932", "euc_jp"]
+#: Pairs of single-byte or two-byte encodings that are confused in practice; others cost twice as much.
+COMMON = {("cp1252", r) for r in ("cp1251", "cp1250", "iso8859_2", "mac_roman", "cp932", "euc_jp")} | {("mac_roman", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251")}
 #: Price of an operation, bonus per character put together by UTF-8, and most states looked at per word, in bits and states.
 PRICE, BONUS, STATES, DEPTH = 3.0, 9.0, 120, 4
 #: Bits that a numeric character reference costs.
 ESCAPED = 6.0
 #: What a word must gain to count, and a record's words must gain together to be taken as affected by one pair of encodings.
-WORD_GAIN, RECORD_GAIN = 4.0, 6.0
+WORD_GAIN, RECORD_GAIN = 4.0, 5.0
 #: A character is known if so many records, and this share of all, hold it beside others.
 KNOWN, KNOWN_SHARE = 2, 0.0005
 
@@ -163,7 +165,7 @@ class Plausibility:
                     for name in READ_AS:
                         for real in REAL:
                             if name != real and (text := _as_other(state, name, real)) and text != state and all(map(self.known, text)):
-                                after.append((text, f"{name}>{real}", 2 * PRICE))
+                                after.append((text, f"{name}>{real}", (2 if (name, real) in COMMON else 4) * PRICE))
             for text, op, price in after:
                 if text not in seen:
                     seen.add(text)
