@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import stripped
+from gleanery.session import stored
 from gleanery.sources.tables import latest
 
 #: An element recurs on a site if so many of its pages hold it, and this share of them.
@@ -175,7 +176,8 @@ def page_lines(clippings: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"clip_id": clip, "site": site, "e": _hash(forms)}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"clip_id": pd.Series(dtype="int64"), "site": pd.Series(dtype="object"), "e": pd.Series(dtype="int64")})
 
-    held = pages.mapInPandas(explode, "clip_id bigint, site string, e bigint").distinct()
+    # distinct within a page as they come, and read several times below
+    held = stored(pages.mapInPandas(explode, "clip_id bigint, site string, e bigint"), "elements")
     per_site = held.filter("site is not null").groupBy("site", "e").agg(F.count("*").alias("n"))
     sizes = pages.filter("site is not null").groupBy("site").agg(F.count("*").alias("pages"))
     on_site = per_site.filter(F.col("n") >= SITE_PAGES).join(sizes, "site").filter(F.col("n") >= SITE_SHARE * F.col("pages")).select("site", "e")
