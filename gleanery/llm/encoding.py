@@ -43,10 +43,13 @@ PRICE, BONUS, STATES, DEPTH = 3.0, 9.0, 120, 4
 ESCAPED = 6.0
 #: What a word must gain to count, and a record's words must gain together to be taken as affected by one pair of encodings.
 WORD_GAIN, RECORD_GAIN = 4.0, 5.0
+#: Words whose pairs of characters are all in more than one record in 2**ODD are not tried with other encodings than UTF-8.
+ODD = 4.5
 #: A character is known if so many records, and this share of all, hold it beside others.
 KNOWN, KNOWN_SHARE = 2, 0.0005
 
 _WORD = regex.compile(r"[^ \t\n\r\f\v]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\n\r\f\v]*")
+_NEAR = regex.compile(r"[^\x00-\x7f]{2}")
 _ESCAPE = regex.compile(r"&#(?:[xX][0-9a-fA-F]+|\d+);")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
 
@@ -92,14 +95,17 @@ def _as_utf8(text: str, name: str) -> tuple[str, int]:
     return _RUN.sub(read, text), made
 
 
-def _as_other(text: str, name: str, real: str) -> str | None:
+def _as_others(text: str, name: str) -> Iterator[tuple[str, str]]:
+    """The text written in an encoding and read in others, where both work."""
     raw = _written(text, name)
     if raw is None:
-        return None
-    try:
-        return raw.decode(real)
-    except UnicodeDecodeError:
-        return None
+        return
+    for real in REAL:
+        if real != name:
+            try:
+                yield real, raw.decode(real)
+            except UnicodeDecodeError:
+                pass
 
 
 def pairs_of(text: str) -> set[int]:
@@ -134,6 +140,11 @@ class Plausibility:
         bits = self.bits
         return escaped + float(sum(bits[(a * 1000003 + b * 7919 + 12345) % CELLS] for a, b in zip(codes, codes[1:]) if a > 127 or b > 127))
 
+    def oddest(self, word: str) -> float:
+        """Bits of the rarest pair of characters in a word."""
+        codes = [32] + [48 if "0" <= c <= "9" else ord(c) for c in word] + [32]
+        return max((float(self.bits[(a * 1000003 + b * 7919 + 12345) % CELLS]) for a, b in zip(codes, codes[1:]) if a > 127 or b > 127), default=0.0)
+
     def known(self, c: str) -> bool:
         return c < "\x80" or self.counts[(ord(c) * 40503 + 777) % CELLS] >= max(KNOWN, KNOWN_SHARE * self.n)
 
@@ -154,18 +165,18 @@ class Plausibility:
             after: list[tuple[str, str, float]] = []
             if "&" in state and (text := html.unescape(state)) != state:
                 after.append((text, "&", 1.0))
-            if not state.isascii():
+            if _NEAR.search(state):  # UTF-8 read wrongly leaves two characters side by side at least
                 for name in READ_AS:
                     text, made = _as_utf8(state, name)
                     if made and all(map(self.known, text)):
                         after.append((text, f"{name}>utf-8", PRICE - BONUS * made))
                     elif made and len(path) < 2:  # garbled twice
                         after.append((text, f"{name}>utf-8", PRICE))
-                if not path or path[0] == "&":
-                    for name in READ_AS:
-                        for real in REAL:
-                            if name != real and (text := _as_other(state, name, real)) and text != state and all(map(self.known, text)):
-                                after.append((text, f"{name}>{real}", (2 if (name, real) in COMMON else 4) * PRICE))
+            if not state.isascii() and (not path or path == ("&",)) and self.oddest(state) > ODD:
+                for name in READ_AS:
+                    for real, text in _as_others(state, name):
+                        if text != state and all(map(self.known, text)):
+                            after.append((text, f"{name}>{real}", (2 if (name, real) in COMMON else 4) * PRICE))
             for text, op, price in after:
                 if text not in seen:
                     seen.add(text)
@@ -231,7 +242,7 @@ def plausibility(texts: DataFrame, text: str = "md") -> tuple[np.ndarray, int]:
 _MODELS: dict[int, Plausibility] = {}
 
 
-def _model(key: int, counts: np.ndarray, n: int) -> Plausibility:
+def worker_model(key: int, counts: np.ndarray, n: int) -> Plausibility:
     """One model per worker and corpus, so that words seen before need no new search."""
     if key not in _MODELS:
         _MODELS.clear()
@@ -246,7 +257,7 @@ def repaired(clips: DataFrame, key: str = "clip_id", text: str = "md") -> DataFr
     shared = clips.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(id(shared), shared.value, n)
+        model = worker_model(id(shared), shared.value, n)
         for batch in batches:
             out = []
             for k, t in zip(batch["k"], batch["t"]):
