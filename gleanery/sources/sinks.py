@@ -48,7 +48,7 @@ def upserted(store: DataFrame, new: DataFrame, key) -> DataFrame:
 
 def removed(store: DataFrame, gone: DataFrame, key, also: list[str]) -> DataFrame:
     """A store without the rows whose key and further columns equal those of ``gone``."""
-    return store.withColumn("__k", key(store)).join(gone.withColumn("__k", key(gone)).select("__k", *also), ["__k", *also], "left_anti").drop("__k")
+    return store.withColumn("__k", key(store)).join(gone.withColumn("__k", key(gone)).select("__k", *also), ["__k", *also], "left_anti").select(*store.columns)
 
 
 def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
