@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +49,8 @@ ODD = 4.5
 #: A character is known if so many records, and this share of all, hold it beside others.
 KNOWN, KNOWN_SHARE = 2, 0.0005
 
-_WORD = regex.compile(r"[^ \t\n\r\f\v]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\n\r\f\v]*")
+#: A word; very long ones are taken in pieces.
+_WORD = regex.compile(r"[^ \t\n\r\f\v]{0,300}?(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\n\r\f\v]{0,300}")
 _NEAR = regex.compile(r"[^\x00-\x7f]{2}")
 _ESCAPE = regex.compile(r"&#(?:[xX][0-9a-fA-F]+|\d+);")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
@@ -76,6 +78,23 @@ def _written(text: str, name: str) -> bytes | None:
         return None
 
 
+def _decoded(raw: bytes, name: str, text: str) -> str | None:
+    """``raw`` read in an encoding; of a piece of a long word, characters cut at its ends stay as they are in ``text``."""
+    try:
+        return raw.decode(name)
+    except UnicodeDecodeError as e:
+        if len(text) < 200 or e.start < len(raw) - 3 and e.start > 0:
+            return None
+        a = next((i for i in range(4) if raw[i] & 0xC0 != 0x80), 0) if name == "utf-8" else 0
+        b = e.start if e.start >= len(raw) - 3 else len(raw)
+        for end in range(b, max(b - 4, a), -1):
+            try:
+                return text[:a] + raw[a:end].decode(name) + text[len(text) - (len(raw) - end) :]
+            except UnicodeDecodeError:
+                pass
+        return None
+
+
 def _as_utf8(text: str, name: str) -> tuple[str, int]:
     """Every run of other than ASCII characters read as UTF-8 where that works; how many characters were put together."""
     made = 0
@@ -85,9 +104,8 @@ def _as_utf8(text: str, name: str) -> tuple[str, int]:
         raw = _written(m.group(), name)
         if raw is None:
             return m.group()
-        try:
-            new = raw.decode("utf-8")
-        except UnicodeDecodeError:
+        new = _decoded(raw, "utf-8", m.group())
+        if new is None:
             return m.group()
         made += len(new)
         return new
@@ -101,11 +119,8 @@ def _as_others(text: str, name: str) -> Iterator[tuple[str, str]]:
     if raw is None:
         return
     for real in REAL:
-        if real != name:
-            try:
-                yield real, raw.decode(real)
-            except UnicodeDecodeError:
-                pass
+        if real != name and (new := _decoded(raw, real, text)) is not None:
+            yield real, new
 
 
 def pairs_of(text: str) -> set[int]:
@@ -239,11 +254,11 @@ def plausibility(texts: DataFrame, text: str = "md") -> tuple[np.ndarray, int]:
     return counts, int(rows["n"].to_numpy()[~inner].sum())
 
 
-_MODELS: dict[int, Plausibility] = {}
+_MODELS: dict[str, Plausibility] = {}
 
 
-def worker_model(key: int, counts: np.ndarray, n: int) -> Plausibility:
-    """One model per worker and corpus, so that words seen before need no new search."""
+def worker_model(key: str, counts: np.ndarray, n: int) -> Plausibility:
+    """One model per worker and ``key``, which names one set of counts, so that words seen before need no new search."""
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Plausibility(counts, n)
@@ -254,10 +269,10 @@ def repaired(clips: DataFrame, key: str = "clip_id", text: str = "md") -> DataFr
     """``(key, how, gained, original, restored)`` of the affected records. restored is null where nothing could be."""
     rows = latest(clips, key).select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null and t <> ''")
     counts, n = plausibility(clips, text)
-    shared = clips.sparkSession.sparkContext.broadcast(counts)
+    shared, name = clips.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = worker_model(id(shared), shared.value, n)
+        model = worker_model(name, shared.value, n)
         for batch in batches:
             out = []
             for k, t in zip(batch["k"], batch["t"]):

@@ -62,7 +62,7 @@ def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> Dat
 
 def select(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     """``(mix_id, source, doc_id, copies, n_tokens, finish)``: the documents taken, how often, and the finish time of the first copy."""
-    docs = sizes.filter("n_tokens > 0").join(planned.filter("level > 0").drop("n_docs"), "source")
+    docs = sizes.select("doc_id", "source", "n_tokens").filter("n_tokens > 0").join(planned.filter("level > 0").drop("n_docs"), "source")
     shuffled = F.xxhash64("mix_id", "doc_id")
     docs = docs.withColumn("place", shuffled).withColumn("part", F.pmod(shuffled, F.lit(ORDER_BUCKETS)).cast("int"))
     sums = docs.groupBy("mix_id", "source", "part").agg(F.sum("n_tokens").alias("in_part"))

@@ -125,8 +125,9 @@ def repeated_anchors(docs: DataFrame, key: str, text: str, length: int = LENGTH,
             codes, starts = _joined(batch.column(1).to_pylist())
             place, h = anchors(codes, starts, length, gram)
             owner = np.searchsorted(starts, place, side="right") - 1
-            d = batch.column(0).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=["h", "d"])
+            first = np.unique(np.stack([owner, h]), axis=1)  # once per record: texts that repeat themselves have many
+            d = batch.column(0).to_numpy()[first[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(first[1]), pa.array(d)], names=["h", "d"])
 
     found = _texts(docs, key, text, length).mapInArrow(run, "h bigint, d bigint")
     return found.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("h")
@@ -152,8 +153,9 @@ def _bloom(repeated: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(h, d, at, left, right)``: the occurrences of repeated anchors with up to ``length - gram`` characters on each side,
-    kept in the shared folder, as the results read them more than once."""
+    """``(h, d, at, left, right, more)``: the occurrences of repeated anchors with up to ``length - gram`` characters on each
+    side, kept in the shared folder, as the results read them more than once. Occurrences of a record that look the same are
+    one row; ``more`` has the places of the others."""
     flags, bits = _bloom(stored(repeated_anchors(docs, key, text, length, gram), "anchors"))
     shared = docs.sparkSession.sparkContext.broadcast(flags)
     side, mask = length - gram, (1 << bits) - 1
@@ -171,12 +173,25 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             place, h = place[hit], h[hit]
             owner = np.searchsorted(starts, place, side="right") - 1
             at = place - starts[owner]
-            left = [texts[o][max(0, p - side) : p] for o, p in zip(owner, at)]
-            right = [texts[o][p + gram : p + gram + side] for o, p in zip(owner, at)]
-            d = batch.column(0).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(at), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["h", "d", "at", "left", "right"])
-
-    found = _texts(docs, key, text, length).mapInArrow(run, "h bigint, d bigint, at bigint, left string, right string")
+            seen: dict[tuple, int] = {}
+            rows: list[tuple] = []
+            more: list[list[int]] = []
+            for o, p, x in zip(owner.tolist(), at.tolist(), h.tolist()):
+                t = texts[o]
+                k = (o, x, t[max(0, p - side) : p], t[p + gram : p + gram + side])
+                if (n := seen.setdefault(k, len(rows))) == len(rows):
+                    rows.append((o, x, p, k[2], k[3]))
+                    more.append([])
+                else:
+                    more[n].append(p)
+            o, x, p, left, right = zip(*rows) if rows else ((),) * 5
+            d = batch.column(0).to_numpy()[np.array(o, np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(more, pa.list_(pa.int64()))],
+                names=["h", "d", "at", "left", "right", "more"],
+            )
+
+    found = _texts(docs, key, text, length).mapInArrow(run, "h bigint, d bigint, at bigint, left string, right string, more array<bigint>")
     return stored(found, "occurrences")
 
 
@@ -204,6 +219,7 @@ def _matches(length: int, gram: int, crossed: bool, once: bool):
         left, right = _matrix(batch["left"].tolist(), side, True, 0), _matrix(batch["right"].tolist(), side, False, 1)
         d, at = batch["d"].to_numpy(), batch["at"].to_numpy()
         group = batch["g"].to_numpy()
+        others = None if once else [np.r_[p, np.asarray(m, np.int64)] for p, m in zip(at, batch["more"])]
         begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         ends = np.r_[begins[1:], len(group)]
         i, j = [], []
@@ -229,7 +245,12 @@ def _matches(length: int, gram: int, crossed: bool, once: bool):
             if once:
                 yield pd.DataFrame({"a": np.minimum(d[x], d[y]), "b": np.maximum(d[x], d[y])}).drop_duplicates()
             else:
-                yield pd.DataFrame({"d": np.r_[d[x], d[y]], "start": np.r_[at[x] - lo, at[y] - lo], "end": np.r_[at[x] + gram + hi, at[y] + gram + hi]}).drop_duplicates()
+                hits = pd.DataFrame({"i": np.r_[x, y], "lo": np.r_[lo, lo], "hi": np.r_[hi, hi]}).drop_duplicates()
+                n = np.array([len(others[k]) for k in hits["i"]], np.int64)
+                place = np.concatenate([others[k] for k in hits["i"]]) if len(hits) else np.empty(0, np.int64)
+                r = np.repeat(np.arange(len(hits)), n)
+                k, a_, b_ = hits["i"].to_numpy()[r], hits["lo"].to_numpy()[r], hits["hi"].to_numpy()[r]
+                yield pd.DataFrame({"d": d[k], "start": place - a_, "end": place + gram + b_}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -278,7 +299,7 @@ def shared_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     """``(key, start, end)``: the maximal intervals of each record (from 0, end not included) that stand in another one too,
     each at least ``length`` long and made of windows of ``length`` characters found elsewhere."""
     cold, hot = _sized(occurrences(docs, key, text, length, gram))
-    one = cold.withColumn("g", F.col("h")).select("g", "d", "at", "left", "right").repartition("g").sortWithinPartitions("g")
+    one = cold.withColumn("g", F.col("h")).select("g", "d", "at", "left", "right", "more").repartition("g").sortWithinPartitions("g")
     near = one.mapInPandas(_matches(length, gram, False, False), "d bigint, start bigint, end bigint")
 
     side = length - gram
@@ -292,7 +313,7 @@ def shared_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 out.append(pd.DataFrame({"h": h, "w": w.astype(np.int64), "o": len(left) - np.arange(len(w)), "d": d, "start": at - len(left) + np.arange(len(w))}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("h", "w", "o", "d", "start")})
 
-    each = hot.select("h", "d", "at", "left", "right").mapInPandas(windows, "h bigint, w bigint, o bigint, d bigint, start bigint")
+    each = hot.select("h", "d", F.explode(F.concat(F.array("at"), "more")).alias("at"), "left", "right").mapInPandas(windows, "h bigint, w bigint, o bigint, d bigint, start bigint")
     again = each.groupBy("h", "w", "o").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x <> y").select("h", "w", "o")
     far = each.join(again, ["h", "w", "o"], "left_semi").select("d", "start", (F.col("start") + length).alias("end"))
     return merged(near.unionByName(far).distinct()).withColumnRenamed("d", key)

@@ -31,8 +31,8 @@ MIN_FILL = 0.5
 LEVELS = [
     regex.compile(r"\n(?=#{1,6}[ \t])"),
     regex.compile(r"\r?\n(?:[ \t\r]*\n)+"),
-    regex.compile(r"\n|[.!?…]+[\"”»’)\]]*[ \t \r]+|[。！？]+[」』）]*"),
-    regex.compile(r"\s+"),
+    regex.compile(r"\n|(?<![.!?…])[.!?…]++[\"”»’)\]]*+[ \t\u00a0\r]++|(?<![。！？])[。！？]++[」』）]*+"),
+    regex.compile(r"\s++"),
 ]
 
 
