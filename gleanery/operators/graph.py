@@ -115,8 +115,10 @@ def evidence_walk(edges: DataFrame, starts: DataFrame, evidence, depth: int = 3)
     e = edges.filter("source is not null and target is not null").select("source", "target").distinct()
     step = starts.join(e, F.col("path") == F.col("source")).select("path", F.col("target").alias("at")).filter(evidence(F.col("at")))
     seen = step
-    for _ in range(depth - 1):
-        step = step.join(e, F.col("at") == F.col("source")).select("path", F.col("target").alias("at")).distinct()
+    for hop in range(2, depth + 1):
+        step = step.join(e, F.col("at") == F.col("source")).select("path", F.col("target").alias("at"))
+        if hop < depth:  # what is reached last is reduced with all the rest
+            step = step.distinct()
         seen = seen.unionByName(step)
     return seen.filter(evidence(F.col("at")) & (F.col("at") != F.col("path"))).distinct().select("path", F.col("at").alias("evidence"))
 

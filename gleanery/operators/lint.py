@@ -74,11 +74,11 @@ def resourced_quotes(missing: DataFrame, bodies: DataFrame, key: str, anchor: in
     """``key, quote_no, source``: the first text that contains all fragments of a quotation, for quotations with a fragment of at
     least ``anchor`` characters. missing: fragments as of ``quotes``.
 
-    Candidates are found by an equal window of ``anchor`` characters at word starts of the texts, not by holding every fragment
-    against every text."""
+    Candidates are found by the hash of an equal window of ``anchor`` characters anywhere in the texts, not by holding every
+    fragment against every text; containment decides."""
     long = missing.filter(F.length("fragment") >= anchor).groupBy(key, "quote_no").agg(F.min("fragment_no").alias("fragment_no"))
-    probe = missing.join(long, [key, "quote_no", "fragment_no"]).select(key, "quote_no", F.left("fragment", F.lit(anchor)).alias("window"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - anchor + 1, F.lit(1))), lambda i: F.substr(F.col("body"), i, F.lit(anchor)))
+    probe = missing.join(long, [key, "quote_no", "fragment_no"]).select(key, "quote_no", F.xxhash64(F.left("fragment", F.lit(anchor))).alias("window"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - anchor + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col("body"), i, F.lit(anchor))))
     spots = bodies.select("source", F.explode(F.array_distinct(starts)).alias("window"))
     near = probe.join(spots, "window").select(key, "quote_no", "source").distinct().join(bodies, "source")
     whole = missing.groupBy(key, "quote_no").agg(F.collect_list("fragment").alias("fragments"))  # fragments of one quotation

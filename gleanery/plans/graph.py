@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import graph as G
 from gleanery.operators import vault as V
 from gleanery.plans.registry import query
+from gleanery.session import stored
 from gleanery.sources.tables import table
 
 TODAY = "2026-07-15"
@@ -162,8 +163,10 @@ def gr_broken_classify(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, CAST(greatest(0, 100 - least(30, 3 * defects) - least(15, 2 * stale) - least(25, 2 * orphans) - least(20, 2 * dead_ends) - least(20, 4 * provenance_gaps) - least(20, 3 * unreachable)) AS BIGINT) AS score FROM n"""
 )
 def gr_health_score(spark: SparkSession, d: str) -> DataFrame:
-    pages, resolved = vault(spark, d)
-    broken = G.classify_broken(G.broken(resolved), pages, TODAY)
+    # six measures read pages and links: both are made once and kept in the shared folder
+    pages = stored(V.pages(spark, d), "pages")
+    resolved = stored(G.resolve(V.links(spark, d), pages), "links")
+    broken = stored(G.classify_broken(G.broken(resolved), pages, TODAY), "broken")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("finding"), "n")
     parts = [
         count(broken.filter("class = 'defect'"), "defects"), count(broken.filter("class = 'stale'"), "stale"), count(G.orphans(pages, resolved), "orphans"),
