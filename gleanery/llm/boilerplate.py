@@ -166,20 +166,23 @@ def keep_lines(md: str, title: str | None, recurs: list[tuple[bool, float]]) ->
 
 def page_lines(clippings: DataFrame) -> DataFrame:
     """``(clip_id, removed, md)``: the numbers (from 1) of the lines that are neither blank nor part of the article."""
-    pages = latest(clippings, "clip_id").filter(F.col("md").isNotNull() & (F.col("md") != "")).select("clip_id", site_of(F.col("source")).alias("site"), "title", "md")
+    rows = latest(clippings, "clip_id").filter(F.col("md").isNotNull() & (F.col("md") != "")).select("clip_id", site_of(F.col("source")).alias("site"), "title", "md")
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for clip, site, md in zip(batch["clip_id"], batch["site"], batch["md"]):
-                forms = sorted({f for line in elements(md, site) for element in line for f in element})
-                out.append(pd.DataFrame({"clip_id": clip, "site": site, "e": _hash(forms)}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"clip_id": pd.Series(dtype="int64"), "site": pd.Series(dtype="object"), "e": pd.Series(dtype="int64")})
-
-    # distinct within a page as they come, and read several times below
-    held = stored(pages.mapInPandas(explode, "clip_id bigint, site string, e bigint"), "elements")
+            shapes, hashes = [], []
+            for site, md in zip(batch["site"], batch["md"]):
+                lines = elements(md, site)
+                shapes.append([x for line in lines for x in (len(line), *map(len, line))])
+                hashes.append(_hash([f for line in lines for element in line for f in element]))
+            yield batch.assign(shape=shapes, e=hashes)
+
+    # parsed once: per line the number of its elements and of the forms of each, and the hashes of all forms in this order
+    pages = stored(rows.mapInPandas(parse, "clip_id bigint, site string, title string, md string, shape array<int>, e array<bigint>"), "parsed")
+    site = F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site")  # counted by a number: shorter rows to shuffle
+    held = pages.select("clip_id", site, F.explode(F.array_distinct("e")).alias("e"))
     per_site = held.filter("site is not null").groupBy("site", "e").agg(F.count("*").alias("n"))
-    sizes = pages.filter("site is not null").groupBy("site").agg(F.count("*").alias("pages"))
+    sizes = pages.filter("site is not null").select(site).groupBy("site").agg(F.count("*").alias("pages"))
     on_site = per_site.filter(F.col("n") >= SITE_PAGES).join(sizes, "site").filter(F.col("n") >= SITE_SHARE * F.col("pages")).select("site", "e")
     n_sites = sizes.agg(F.count("*").alias("sites"))
     over_sites = per_site.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") >= SITES)
@@ -195,16 +198,19 @@ def page_lines(clippings: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             removed = []
-            for site, title, md, marks_ in zip(batch["site"], batch["title"], batch["md"], batch["marks"]):
-                known = set() if marks_ is None else set(np.asarray(marks_).tolist())
-                lines = elements(md, site)
-                flat = list({f for line in lines for element in line for f in element})
-                hit = {f: h in known for f, h in zip(flat, _hash(flat).tolist())}
-                name = masked(plain(title or ""), brand_of(site))
-                recurs = []
-                for line, raw in zip(lines, md.split("\n")):
-                    found = [any(hit[f] for f in element) for element in line]
-                    parts = [f or bool(name) and element[0] == name for f, element in zip(found[1:], line[1:])]
+            for site, title, md, shape, e, marks_ in zip(batch["site"], batch["title"], batch["md"], batch["shape"], batch["e"], batch["marks"]):
+                known = np.isin(e, marks_) if marks_ is not None else np.zeros(len(e), bool)
+                name = _hash([masked(plain(title or ""), brand_of(site))])[0] if title else None
+                hits, counts, at, spot, recurs = known.tolist(), shape.tolist(), 0, 0, []
+                for raw in md.split("\n"):
+                    n = counts[spot]
+                    found, parts = [], []
+                    for k, m in enumerate(counts[spot + 1 : spot + 1 + n]):
+                        found.append(any(hits[at : at + m]))
+                        if k:
+                            parts.append(found[-1] or e[at] == name)
+                        at += m
+                    spot += 1 + n
                     led = bool(parts) and parts[0] and bool(_LEAD.match(plain(raw)))  # a recurring label and what it announces
                     recurs.append((bool(found) and found[0], 1.0 if led and not _long(plain(raw)) else sum(parts) / len(parts) if parts else 0.0))
                 kept = keep_lines(md, title, recurs)
