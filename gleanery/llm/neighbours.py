@@ -11,7 +11,11 @@ below 1e-4, a quarter of the bytes of doubles. Sums are made in 32-bit floats.
 Rows that take no part: null vectors, vectors of another length, vectors that are all zero or hold a value that isn't
 finite. Repeated rows of a slot count once. Equal similarities are ranked by slot. One vector alone has no neighbours.
 A run of one partition sees only its own rows: neighbours across a border are left to the other curves, whose borders lie
-elsewhere. Copies of one vector share a key on all curves; each still gets its k from the window, whose size bounds the work.
+elsewhere.
+
+Copies of one vector (equal codes) are compared once, by the one with the least slot, and get its neighbours and each other.
+A cell of a curve with more distinct vectors than the window holds is, besides its walk, compared all with all, in blocks that
+are spread over tasks: the work there grows with the square of the cell, but no pair of a cell is left out.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.session import stored
+
 DIMENSION = 96
 K = 8
 CURVES = 6
@@ -34,8 +40,15 @@ BITS = 5
 #: Rows before and after a block that it is compared with, and the rows of a block.
 WINDOW = 1024
 BLOCK = 512
+#: Rows of one side of a block of an overfull cell.
+PART = 16384
 SEED = 20240
 _SCALE = 32767.0
+#: The largest cosine of vectors that aren't copies: the last 32-bit float before 1.
+_BELOW = np.float32(1 - 2**-24)
+#: So many vectors with copies are broadcast at most, with K + 1 slots each.
+_FEW = 10_000
+_FOUND = "id bigint, other bigint, first bigint, cosine float"
 
 
 def rotations(axes: np.ndarray, curves: int = CURVES, projected: int = PROJECTED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +96,24 @@ def curve_keys(unit: np.ndarray, turn: np.ndarray, shift: np.ndarray, center: np
     return hilbert_keys(np.clip(np.floor(y), 0, cells - 1), bits)
 
 
-def block_pairs(unit: np.ndarray, k: int, least: float | None, window: int = WINDOW, block: int = BLOCK, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _best(sim: np.ndarray, slots: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and cosine of the k best of every row, equal ones by slot; with ``least``, only those of at least this
+    cosine. ``slots`` are those of the columns; what is below -1.5 takes no part."""
+    np.minimum(sim, _BELOW, out=sim)
+    n, floor = sim.shape[1], np.float32(-1.5 if least is None else least)
+    hit = sim >= floor
+    if n > k and (least is None or np.count_nonzero(hit) > 16 * k * len(sim)):
+        hit = sim >= np.maximum(np.partition(sim, n - k, axis=1)[:, n - k], floor)[:, None]
+    row, col = np.nonzero(hit)
+    s = sim[row, col]
+    o = np.lexsort((slots[col], -s, row))
+    row, col, s = row[o], col[o], s[o]
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    kept = np.arange(len(row)) - np.repeat(begins, np.diff(np.r_[begins, len(row)])) < k
+    return row[kept], col[kept], s[kept]
+
+
+def block_pairs(unit: np.ndarray, slots: np.ndarray, k: int, least: float | None, window: int = WINDOW, block: int = BLOCK, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row, neighbour and cosine of the k best neighbours of the rows ``first`` to ``last`` within their window of the run
     ``unit`` (in curve order); with ``least``, only those of at least this cosine."""
     n = len(unit)
@@ -93,25 +123,17 @@ def block_pairs(unit: np.ndarray, k: int, least: float | None, window: int = WIN
         lo, hi = max(0, a - window), min(n, b + window)
         sim = unit[a:b] @ unit[lo:hi].T
         sim[np.arange(b - a), np.arange(a - lo, b - lo)] = -2
-        if least is None:
-            m = min(k, hi - lo - 1)
-            if m < 1:
-                continue
-            col = np.argpartition(sim, hi - lo - m, axis=1)[:, hi - lo - m :]
-            row = np.repeat(np.arange(b - a), m)
-            col = col.ravel()
-            yield a + row, lo + col, sim[row, col]
-            continue
-        row, col = np.nonzero(sim >= least)
-        if not len(row):
-            continue
-        s = sim[row, col]
-        o = np.lexsort((col, -s, row))
-        row, col, s = row[o], col[o], s[o]
-        begins = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        place = np.arange(len(row)) - np.repeat(begins, np.diff(np.r_[begins, len(row)]))
-        kept = place < k
-        yield a + row[kept], lo + col[kept], s[kept]
+        row, col, s = _best(sim, slots[lo:hi], k, least)
+        if len(row):
+            yield a + row, lo + col, s
+
+
+def cross_pairs(left: np.ndarray, right: np.ndarray, slots: np.ndarray, k: int, least: float | None, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of ``left``, row of ``right`` and cosine of the k best of ``right``, whose slots are given, for every row of ``left``."""
+    for a in range(0, len(left), block):
+        row, col, s = _best(left[a : a + block] @ right.T, slots, k, least)
+        if len(row):
+            yield a + row, col, s
 
 
 def _taking_part(df: DataFrame, slot: str, vector: str, dimension: int) -> DataFrame:
@@ -151,26 +173,70 @@ def main_axes(whole: DataFrame, dimension: int, axes: int = AXES) -> tuple[np.nd
     return vectors[:, ::-1][:, :axes], mean.astype(np.float32), float(np.sqrt(max(values[-1], 1e-12)))
 
 
-def _keyed(whole: DataFrame, dimension: int, curves: int) -> DataFrame:
-    """A row ``(curve, key, slot, code)`` per curve and vector that takes part."""
-    axes, center, spread = main_axes(whole, dimension)
-    turns, shifts = rotations(axes, curves)
+def _coded(whole: DataFrame, dimension: int) -> DataFrame:
+    """``(slot, code)`` of every vector that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit, ok = _units(batch, 1, dimension)
-            slots = batch.column(0).to_numpy(zero_copy_only=False)[ok]
             if not len(unit):
                 continue
             codes = np.rint(unit * _SCALE).astype(np.int16)
             code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dimension), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[ok]), code], names=["slot", "code"])
+
+    return whole.mapInArrow(run, "slot bigint, code binary")
+
+
+def _distinct(coded: DataFrame, k: int) -> DataFrame:
+    """``(id, slot, slots, code)``: every vector once, with the ``k + 1`` least of its slots, of which ``slot`` is the first."""
+    place = F.dense_rank().over(Window.partitionBy("code").orderBy("slot"))
+    once = coded.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
+    return stored(once.select(F.monotonically_increasing_id().alias("id"), F.get("slots", F.lit(0)).alias("slot"), "slots", "code"), "vectors")
+
+
+def _decoded(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
+    unit = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dimension).astype(np.float32)
+    unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+    return unit
+
+
+def _keyed(once: DataFrame, whole: DataFrame, dimension: int, curves: int, window: int) -> tuple[DataFrame, bool]:
+    """A row ``(curve, key, rows, id, slot, code)`` per curve and vector, and whether any cell is overfull. ``rows`` is the
+    number of vectors of an overfull cell, 0 of any other. The driver holds the overfull cells, of which there is at most one
+    per ``window`` rows."""
+    axes, center, spread = main_axes(whole, dimension)
+    turns, shifts = rotations(axes, curves)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _decoded(batch.column(0), dimension)
             for c in range(curves):
                 key = curve_keys(unit, turns[c], shifts[c], center, spread)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), pa.array(slots), code], names=["curve", "key", "slot", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key)], names=["curve", "key"])
 
-    return whole.mapInArrow(run, "curve int, key bigint, slot bigint, code binary")
+    cells = once.select("code").mapInArrow(keys, "curve int, key bigint").groupBy("curve", "key").count()
+    full: dict[int, list[tuple[int, int]]] = {}
+    for r in cells.filter(F.col("count") > window).collect():
+        full.setdefault(r["curve"], []).append((r["key"], r["count"]))
+    overfull = {c: np.array(sorted(rows), np.int64).T for c, rows in full.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _decoded(batch.column(2), dimension)
+            for c in range(curves):
+                key = curve_keys(unit, turns[c], shifts[c], center, spread)
+                rows = np.zeros(len(key), np.int64)
+                if c in overfull:
+                    known, sizes = overfull[c]
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    rows = np.where(known[at] == key, sizes[at], 0)
+                columns = [pa.array(np.full(len(key), c, np.int32)), pa.array(key), pa.array(rows), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["curve", "key", "rows", "id", "slot", "code"])
+
+    return once.select("id", "slot", "code").mapInArrow(run, "curve int, key bigint, rows bigint, id bigint, slot bigint, code binary"), bool(overfull)
 
 
 def _scan(dimension: int, k: int, least: float | None, window: int, block: int):
@@ -178,48 +244,91 @@ def _scan(dimension: int, k: int, least: float | None, window: int, block: int):
     held = 16 * block + 2 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, slots, unit, begun = -1, np.empty(0, np.int64), np.empty((0, dimension), np.float32), 0
+        curve, names, unit, begun = -1, np.empty((2, 0), np.int64), np.empty((0, dimension), np.float32), 0
 
         def found(last: int) -> Iterator[pa.RecordBatch]:
-            for i, j, s in block_pairs(unit, k, least, window, block, begun, last):
-                yield pa.RecordBatch.from_arrays([pa.array(slots[i]), pa.array(slots[j]), pa.array(s)], names=["slot", "other", "cosine"])
+            for i, j, s in block_pairs(unit, names[1], k, least, window, block, begun, last):
+                yield pa.RecordBatch.from_arrays([pa.array(names[0, i]), pa.array(names[0, j]), pa.array(names[1, j]), pa.array(s)], names=["id", "other", "first", "cosine"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cs, new = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int16).reshape(-1, dimension)
-            units = codes.astype(np.float32)
-            units /= np.sqrt(np.einsum("ij,ij->i", units, units))[:, None]
+            cs, new = batch.column(0).to_numpy(), np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()])
+            units = _decoded(batch.column(5), dimension)
             for c in np.unique(cs):
                 part = np.flatnonzero(cs == c)
                 if c != curve:
-                    yield from found(len(slots))
-                    curve, slots, unit, begun = c, np.empty(0, np.int64), np.empty((0, dimension), np.float32), 0
+                    yield from found(len(unit))
+                    curve, names, unit, begun = c, np.empty((2, 0), np.int64), np.empty((0, dimension), np.float32), 0
                 for a in range(0, len(part), 8 * block):
                     rows = part[a : a + 8 * block]
-                    fresh = new[rows] != np.r_[slots[-1] if len(slots) else new[rows[0]] - 1, new[rows[:-1]]]  # repeated rows lie side by side
-                    slots, unit = np.r_[slots, new[rows][fresh]], np.concatenate([unit, units[rows][fresh]])
-                    if len(slots) > held:
-                        last = len(slots) - window
+                    names, unit = np.concatenate([names, new[:, rows]], axis=1), np.concatenate([unit, units[rows]])
+                    if len(unit) > held:
+                        last = len(unit) - window
                         yield from found(last)
                         cut = max(0, last - window)
-                        slots, unit, begun = slots[cut:], unit[cut:], last - cut
-        yield from found(len(slots))
+                        names, unit, begun = names[:, cut:], unit[cut:], last - cut
+        yield from found(len(unit))
 
     return run
 
 
+def _within_cells(keyed: DataFrame, dimension: int, k: int, least: float | None, part: int, block: int) -> DataFrame:
+    """What the vectors of overfull cells find in the whole of their cell. A cell is dealt to parts; every two parts are one group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, ids, slots, parts = _decoded(table["code"], dimension), table["id"].to_numpy(), table["slot"].to_numpy(), table["part"].to_numpy()
+        a, b = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts != parts.min())
+        one = table["i"][0].as_py() == table["j"][0].as_py()
+        out = []
+        if one:
+            out = [(ids[i], j, s) for i, j, s in block_pairs(unit, slots, k, least, len(unit), block)]
+        elif len(b):
+            for x, y in ((a, b), (b, a)):
+                out += [(ids[x[i]], y[j], s) for i, j, s in cross_pairs(unit[x], unit[y], slots[y], k, least, block)]
+        i, j, s = (np.concatenate([np.empty(0, t), *(o[n] for o in out)]) for n, t in enumerate((np.int64, np.int64, np.float32)))
+        return pa.table([i, ids[j], slots[j], s], names=["id", "other", "first", "cosine"])
+
+    parts = F.ceil(F.col("rows") / part)
+    dealt = keyed.filter("rows > 0").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    paired = dealt.select("curve", "key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id", "slot", "code")
+    return paired.groupBy("curve", "key", "i", "j").applyInArrow(run, _FOUND)
+
+
+def _with_copies(best: DataFrame, once: DataFrame, coded: DataFrame, k: int) -> DataFrame:
+    """``(slot, other, cosine)`` from the best ``(id, other, first, cosine)`` of distinct vectors, among them itself where it
+    has copies: every slot gets the neighbours of its vector, and of each the slots."""
+    many = once.filter(F.size("slots") > 1)
+    several = many.select(F.col("id").alias("other"), "slots")
+    if many.count() <= _FEW:
+        several = F.broadcast(several)
+    slots = F.coalesce("slots", F.array("first"))
+    near = best.join(several, "other", "left").select("id", "cosine", F.explode(slots).alias("other"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k + 1)
+    mark = [F.xxhash64("code").alias("h1"), F.xxhash64(F.lit(1), "code").alias("h2")]  # 128 bits stand for a code
+    copies = coded.select("slot", *mark).join(many.select("id", F.col("slot").alias("least"), *mark), ["h1", "h2"]).filter("slot <> least").select("id", "slot")
+    return near.join(once.select("id", "slot").unionByName(copies), "id").filter("slot <> other").select("slot", "other", "cosine")
+
+
 def nearest(df: DataFrame, slot: str = "slot", vector: str = "embedding", k: int = K, least: float | None = None, dimension: int = DIMENSION, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """``(slot, other, cosine, place)``: up to ``k`` most similar other vectors of every vector, place from 1.
 
     ``least`` leaves out neighbours below this cosine already where they are found. Measured against brute force the pairs
     at 0.85 and above come out at a recall of about 0.99 on a hundred thousand vectors; see the README."""
-    keyed = _keyed(_taking_part(df, slot, vector, dimension), dimension, curves)
-    runs = keyed.repartitionByRange("curve", "key", F.xxhash64("slot")).sortWithinPartitions("curve", "key", F.xxhash64("slot"), "slot")
-    found = runs.mapInArrow(_scan(dimension, k, least, window, BLOCK), "slot bigint, other bigint, cosine float")
-    best = found.filter("slot <> other").groupBy("slot", "other").agg(F.max("cosine").alias("cosine"))
-    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("cosine"), "other")))
+    whole = _taking_part(df, slot, vector, dimension)
+    coded = _coded(whole, dimension)
+    once = _distinct(coded, k)
+    keyed, overfull = _keyed(once, whole, dimension, curves, window)
+    spread = F.when(F.col("rows") > 0, F.xxhash64("id")).otherwise(F.lit(0))  # only overfull cells are cut by a border
+    runs = keyed.repartitionByRange("curve", "key", spread).sortWithinPartitions("curve", "key", spread, "id")
+    found = runs.mapInArrow(_scan(dimension, k, least, window, BLOCK), _FOUND)
+    if overfull:
+        found = found.unionByName(_within_cells(keyed, dimension, k, least, PART, BLOCK))
+    itself = once.filter(F.size("slots") > 1).select("id", F.col("id").alias("other"), F.col("slot").alias("first"), F.lit(1.0).cast("float").alias("cosine"))
+    best = found.unionByName(itself).groupBy("id", "other", "first").agg(F.max("cosine").alias("cosine"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "first"))).filter(F.col("n") <= k + 1).drop("n")
+    out = _with_copies(best, once, coded, k).repartition("slot").groupBy("slot", "other").agg(F.max("cosine").alias("cosine"))
+    ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("cosine"), "other")))
     return ranked.filter(F.col("place") <= k)
 
 

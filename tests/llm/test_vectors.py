@@ -56,6 +56,31 @@ def test_copies_of_one_vector_share_a_key_and_still_get_their_k(spark, monkeypat
     assert len(out) == 400 and all(r["count"] == 8 for r in out)
 
 
+def test_near_copies_of_an_overfull_cell_find_their_nearest(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "PART", 150, raising=False)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([clustered(600, 4), rng.standard_normal(96) + 0.02 * rng.standard_normal((600, 96))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    near = np.argsort(-sim, axis=1)[:, :8]
+    got = {(r["slot"], r["other"]) for r in N.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), least=0.85, window=32).collect()}
+    true = {(i, int(j)) for i in range(600, 1200) for j in near[i]}
+    assert len(true & got) / len(true) >= 0.95
+
+
+def test_copies_are_ranked_by_slot_before_others(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    near = [1.0] * 95 + [1.01]
+    rows = [(i, [1.0] * 96) for i in range(10, 310)] + [(i, near) for i in range(5)]
+    got = {}
+    for r in N.nearest(frame(spark, rows), k=8, window=32).collect():
+        got.setdefault(r["slot"], {})[r["place"]] = r["other"]
+    assert all([got[i][p] for p in range(1, 9)] == [j for j in range(10, 20) if j != i][:8] for i in range(10, 310))
+    assert all([got[i][p] for p in range(1, 9)] == [j for j in range(5) if j != i] + [10, 11, 12, 13] for i in range(5))
+
+
 def test_hilbert_keys_are_a_walk_of_single_steps():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     keys = N.hilbert_keys(cells, 3)
