@@ -20,6 +20,8 @@ LEXICON = {
 }
 #: Kinds checked per folder.
 APPLIES = {"wiki/entities/": ["editorializing", "weasel", "said-verbs", "puffery", "doubt"], "wiki/concepts/": ["editorializing", "weasel"], "wiki/sources/": ["editorializing", "weasel"]}
+#: Punctuation at the ends of a fragment, which is quoting convention.
+EDGES = r"^[.,;:!?\s]+|[.,;:!?\s]+$"
 #: Word borders are those of ASCII words.
 CONNECTIVES = r"(?i)(^|[^A-Za-z0-9_])(however|but|despite|yet)([^A-Za-z0-9_]|$)"
 
@@ -55,9 +57,9 @@ def connectives(df: DataFrame, key: str, path: str, text: str, folder: str = "wi
 
 
 def quotes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, quote_no, quote, fragment_no, fragment``: fragments to be found, in matching form."""
+    """``key, quote_no, quote, fragment_no, fragment``: fragments to be found, in matching form without punctuation at the ends."""
     q = df.select(key, F.posexplode(T.quoted_spans(F.col(text))).alias("quote_no", "quote"))
-    return q.select(key, "quote_no", "quote", F.posexplode(T.fragments(F.col("quote"))).alias("fragment_no", "f")).select(key, "quote_no", "quote", "fragment_no", T.matching_form(F.col("f")).alias("fragment"))
+    return q.select(key, "quote_no", "quote", F.posexplode(T.fragments(F.col("quote"))).alias("fragment_no", "f")).select(key, "quote_no", "quote", "fragment_no", F.regexp_replace(T.matching_form(F.col("f")), EDGES, "").alias("fragment"))
 
 
 def unsupported_quotes(quoted: DataFrame, evidence: DataFrame, bodies: DataFrame, key: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.functions.urls import url_key
 from gleanery.operators import capture as C
-from gleanery.operators import repair
-from gleanery.plans.graph import VAULT, vault
+from gleanery.operators import graph as G
+from gleanery.operators import lint, repair
+from gleanery.operators import vault as V
+from gleanery.plans.graph import VAULT, content, vault
 from gleanery.plans.registry import query
 from gleanery.plans.text import DOCS, documents, sql_domain, sql_matching, sql_url
 from gleanery.sources.tables import latest, table
@@ -173,6 +175,45 @@ def ln_quote_containment(spark: SparkSession, d: str) -> DataFrame:
     return tried.groupBy("path", "quote").agg(F.coalesce(F.bool_or(F.contains("body", T.matching_form(F.col("quote")))), F.lit(False)).alias("supported"))
 
 
+_FRONT = r"^---\r?\n[\s\S]*?\r?\n---\r?\n?"
+
+
+@query(
+    rf"""WITH {VAULT}, ck AS (SELECT DISTINCT chunk_id, path, start_line, text FROM chunks WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT source, resolved AS target FROM resolved WHERE resolved IS NOT NULL),
+h1 AS (SELECT DISTINCT source AS path, target AS node FROM e WHERE {content('source')} AND regexp_matches(target, '^(raw|wiki/sources)/')),
+h2 AS (SELECT DISTINCT path, target AS node FROM h1 JOIN e ON e.source = node),
+h3 AS (SELECT DISTINCT path, target AS node FROM h2 JOIN e ON e.source = node),
+ev AS (SELECT DISTINCT path, node FROM (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3) WHERE regexp_matches(node, '^(raw|wiki/sources)/') AND node <> path),
+tx AS (SELECT path AS node, md AS text FROM allclips WHERE md IS NOT NULL
+  UNION ALL SELECT path, string_agg(text, chr(10) ORDER BY start_line, chunk_id) FROM ck WHERE starts_with(path, 'wiki/sources/') GROUP BY path),
+tf AS (SELECT node, regexp_replace(text, '{_FRONT}', '') AS text FROM tx), bd AS (SELECT node, {sql_matching('text')} AS body FROM tf),
+q0 AS (SELECT chunk_id, path, list_filter(list_concat(regexp_extract_all(text, '“([^“”]+?)”', 1), regexp_extract_all(regexp_replace(text, '“([^“”]+?)”', ' ', 'g'), '"([^"]*?)"', 1)), lambda x: len(regexp_extract_all(x, '\S+')) >= 5) AS qs
+  FROM ck WHERE {content('path')}),
+q AS (SELECT chunk_id, path, n AS quote_no, qs[n + 1] AS quote FROM (SELECT *, unnest(range(len(qs))) AS n FROM q0)),
+f0 AS (SELECT *, list_filter(regexp_split_to_array(quote, '\.\.\.|…|\[[^\]]*\]'), lambda x: len(regexp_extract_all(x, '\S+')) >= 3) AS fs FROM q),
+f1 AS (SELECT chunk_id, path, quote_no, quote, n, fs[n + 1] AS f FROM (SELECT *, unnest(range(len(fs))) AS n FROM f0)),
+fr AS (SELECT chunk_id, path, quote_no, quote, n, regexp_replace({sql_matching('f')}, '{lint.EDGES}', '', 'g') AS fragment FROM f1),
+ok AS (SELECT chunk_id, fr.path, quote_no, quote, n, coalesce(bool_or(contains(body, fragment)), false) AS ok FROM fr LEFT JOIN ev ON ev.path = fr.path LEFT JOIN bd USING (node) GROUP BY ALL)
+SELECT chunk_id, quote_no, quote, count(*) FILTER (WHERE NOT ok) AS missing FROM ok GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) > 0"""
+)
+def ln_unsupported_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotations in the chunks of content pages of which a fragment stands in no evidence that the page's links lead to: raw
+    clips and source pages, within three hops."""
+    ck = latest(table(spark, d, "chunks", "chunk_id", "path", "start_line", "text", "loaded_at"), "chunk_id").filter("text is not null")
+    quoted = lint.quotes(ck.filter(V.is_content(F.col("path"))), "chunk_id", "text")
+    edges = vault(spark, d)[1].select("source", F.col("resolved").alias("target"))
+    starts = ck.select("path").distinct().filter(V.is_content(F.col("path")))
+    walk = G.evidence_walk(edges, starts, V.is_evidence)
+    with_quotes = ck.join(quoted.select("chunk_id").distinct(), "chunk_id").select("chunk_id", "path")
+    evidence = with_quotes.join(walk, "path").select("chunk_id", F.col("evidence").alias("source"))
+    told = ck.filter(F.col("path").startswith("wiki/sources/")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "text"))).alias("parts"))
+    pages = told.select("path", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("md"))
+    texts = pages.unionByName(clips(spark, d).select("path", "md")).unionByName(pdfs(spark, d).select("path", "md")).filter("md is not null")
+    bodies = texts.select(F.col("path").alias("source"), T.matching_form(F.regexp_replace("md", _FRONT, "")).alias("body"))
+    return lint.unsupported_quotes(quoted, evidence, bodies, "chunk_id")
+
+
 @query()
 def cap_html_extract(spark: SparkSession, d: str) -> DataFrame:
     """Captured pages set as simple web pages and extracted again."""

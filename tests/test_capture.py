@@ -161,3 +161,27 @@ def test_manifests_and_blocklist(spark, tmp_path):
     assert bad.count() == 1
     (tmp_path / "l.txt").write_text("# x\n Bad.com \n\nworse.org\n")
     assert [r["domain"] for r in files.blocklist(spark, str(tmp_path / "l.txt")).collect()] == ["bad.com", "worse.org"]
+
+
+def test_quotes_are_looked_up_by_fragment_along_the_evidence_walk(spark, small, tmp_path):
+    from gleanery.queries import QUERIES
+
+    rows = {
+        "wiki_pages": [
+            {"page_id": 1, "path": "wiki/concepts/a.md", "sources": ["[[s]]"]},
+            {"page_id": 2, "path": "wiki/sources/s.md", "sources": ["[[raw/c]]"]},
+        ],
+        "chunks": [
+            {"chunk_id": 1, "path": "wiki/concepts/a.md", "start_line": 1, "text": "“The first part stands here ... and the last part there.” “The source page says just this” “Nobody has ever said this anywhere”"},
+            {"chunk_id": 2, "path": "wiki/sources/s.md", "start_line": 1, "text": "The source page says just this, in short."},
+        ],
+        "clippings": [{"clip_id": 1, "path": "raw/c.md", "md": "The first part stands here between others, and the last part there, so to say."}],
+        "pdf_clips": [],
+    }
+    for t, some in rows.items():
+        schema = spark.read.parquet(f"{small}/{t}.parquet").schema
+        kinds = {f.name: f.dataType.simpleString() for f in schema}
+        data = [tuple(str(r[c]) if r.get(c) is not None and kinds[c] == "string" else r.get(c) for c in schema.names) for r in some]
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = QUERIES["ln_unsupported_quotes"](spark, str(tmp_path)).collect()
+    assert [(r["quote"], r["missing"]) for r in got] == [("Nobody has ever said this anywhere", 1)]
