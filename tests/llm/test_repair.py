@@ -161,3 +161,41 @@ def test_paragraphs_are_continuous():
 
 def test_scanned_of_an_empty_table(spark):
     assert S.found(pdfs(spark, [])).count() == 0
+
+
+def test_nothing_is_deleted_that_does_not_recur():
+    """With no element recurring no line goes, whatever its form; with all recurring all but the title goes."""
+    rng = random.Random(9)
+    for i in range(20):
+        md, _ = site_page(rng, i, f"Title {i} of things")
+        md += "\n\n- Brown flour\n- Salt\n\nRoses are red,\nviolets too\n\n> Quoted\n\n[a](b) | [c](d)\nNext: Other"
+        code, hashes = B.parse(md, "alpha.example", f"Title {i} of things")
+        codes = memoryview(code).cast("i").tolist()
+        assert B.judge(codes, [False] * len(hashes)) == []
+        lines = md.split("\n")
+        kept = [x for n, x in enumerate(lines, 1) if x.strip() and n not in B.judge(codes, [True] * len(hashes))]
+        assert kept[0] == f"# Title {i} of things"
+
+
+def test_subtrees_are_deleted_by_recurrence(spark):
+    rows, expected = [], set()
+    for i in range(12):
+        table = "| Open | Closed |\n|---|---|\n| Mon | Sun |"
+        recipe = "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(8)).capitalize()
+        md = f"Menu\n- Home\n- Shop\n{table}\nFooter line\n\n# T{i}\n\n- {recipe} flour\n- {recipe} salt\n\nIt was {recipe} that did it.\n\n{table}\n\nThen {recipe} went on.\n\nMore to read\n- The {recipe} story\n- A {recipe} tale"
+        rows.append((i, f"T{i}", "https://beta.example/x", md))
+        lines = md.split("\n")
+        expected |= {(i, n) for n in [*range(1, 8), *range(len(lines) - 2, len(lines) + 1)] if lines[n - 1].strip()}
+    got = {tuple(r) for r in B.found(pages(spark, rows)).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_elements_over_sites_come_back_whole_by_broadcast_or_join(spark, few, monkeypatch):
+    """Sites of one page each are told by what recurs over sites; a page of many parts and names has no limit."""
+    monkeypatch.setattr(B, "FEW", few)
+    monkeypatch.setattr(B, "SALTED", 2)
+    rng = random.Random(5)
+    menu = " | ".join(f"Part{chr(97 + k)}" for k in range(26)) + " | " + " | ".join(f"More{chr(97 + k)}" for k in range(26))
+    rows = [(i, None, f"https://only{i}.example/", f"{menu}\n\n{sentence(rng)} {i} {'ab'[i % 2] * i}.") for i in range(9)]
+    assert {tuple(r) for r in B.found(pages(spark, rows)).collect()} == {(i, 1) for i in range(9)}
