@@ -4,7 +4,8 @@ Best-first graph search. A state is a word; the operations are "write it in enco
 "unescape character references"; states seen are kept in a hash set. The cost of a state is how implausible its characters
 are next to each other (by the number of records that hold each pair of characters, counted over the whole table in Spark),
 plus a price per operation, less a bonus for every character that a strict UTF-8 reading puts together, since other text
-hardly ever forms valid UTF-8. The cheapest state reached is the restored word.
+hardly ever forms valid UTF-8. The cheapest state reached is the restored word. All states that can be reached are looked at:
+but for the first, every operation makes the word shorter, so the search ends by itself.
 
 A record is affected if it holds U+FFFD (what was there is lost), a word restored by way of UTF-8 into characters that other
 records use, or words that one and the same pair of single-byte or two-byte encodings makes clearly more plausible. The last
@@ -18,8 +19,10 @@ Null and empty texts are not affected. Redelivered rows of a record count once.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,8 +41,8 @@ READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r"
 REAL = ["cp1252", "cp1251", "cp1250", "koi8_r", "mac_roman", "iso8859_2", "cp932", "euc_jp"]
 #: Pairs of single-byte or two-byte encodings that are confused in practice; others cost twice as much.
 COMMON = {("cp1252", r) for r in ("cp1251", "cp1250", "iso8859_2", "mac_roman", "cp932", "euc_jp")} | {("mac_roman", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251")}
-#: Price of an operation, bonus per character put together by UTF-8, and most states looked at per word, in bits and states.
-PRICE, BONUS, STATES, DEPTH = 3.0, 9.0, 120, 4
+#: Price of an operation and bonus per character put together by UTF-8, in bits.
+PRICE, BONUS = 3.0, 9.0
 #: Bits that a numeric character reference costs.
 ESCAPED = 6.0
 #: What a word must gain to count, and a record's words must gain together to be taken as affected by one pair of encodings.
@@ -57,27 +60,34 @@ _RUN = regex.compile(r"[^\x00-\x7f]+")
 
 
 @lru_cache(maxsize=None)
-def _writer(name: str) -> dict[str, int]:
+def _writer(name: str) -> dict[int, int]:
     """Characters to bytes; bytes the encoding leaves undefined stand for the control characters of the same number."""
-    out = {}
+    out = {b: b for b in range(128)}
     for b in range(128, 256):
         try:
-            out[bytes([b]).decode(name)] = b
+            out[ord(bytes([b]).decode(name))] = b
         except UnicodeDecodeError:
             pass
     for b in range(128, 160):
-        out.setdefault(chr(b), b)
+        out.setdefault(b, b)
     return out
 
 
 def _written(text: str, name: str) -> bytes | None:
-    table = _writer(name)
     try:
-        return bytes(ord(c) if c < "\x80" else table[c] for c in text)
-    except KeyError:
+        return codecs.charmap_encode(text, "strict", _writer(name))[0]
+    except UnicodeEncodeError:
         return None
 
 
+@lru_cache(maxsize=None)
+def _sequence(name: str) -> regex.Pattern:
+    """Two characters that the encoding writes as the beginning of a sequence of UTF-8."""
+    chars = {b: chr(c) for c, b in _writer(name).items()}
+    first, second = ("".join(regex.escape(chars[b]) for b in bytes_ if b in chars) for bytes_ in (range(0xC2, 0xF5), range(0x80, 0xC0)))
+    return re.compile(f"[{first}][{second}]")
+
+
 def _decoded(raw: bytes, name: str, text: str) -> str | None:
     """``raw`` read in an encoding; of a piece of a long word, characters cut at its ends stay as they are in ``text``."""
     try:
@@ -169,19 +179,23 @@ class Plausibility:
             return hit
         start = self.cost(word)
         best, best_cost, best_path = word, start, ()
-        queue, seen, looked, tie = [(start, 0, word, (), 0.0)], {word}, 0, 0
-        while queue and looked < STATES:
+        if "&" not in word and not _NEAR.search(word) and self.oddest(word) <= ODD:
+            self.memo[word] = best, best_path, 0.0
+            return self.memo[word]
+        queue, seen, tie = [(start, 0, word, (), 0.0)], {word}, 0
+        while queue:
             total, _, state, path, extra = heapq.heappop(queue)
-            looked += 1
             if total < best_cost - 1e-6 and any(p != "&" for p in path):
                 best, best_cost, best_path = state, total, path
-            if len(path) >= DEPTH or state.isascii() and "&" not in state:
+            if state.isascii() and "&" not in state:
                 continue
             after: list[tuple[str, str, float]] = []
             if "&" in state and (text := html.unescape(state)) != state:
                 after.append((text, "&", 1.0))
             if _NEAR.search(state):  # UTF-8 read wrongly leaves two characters side by side at least
                 for name in READ_AS:
+                    if not _sequence(name).search(state):
+                        continue
                     text, made = _as_utf8(state, name)
                     if made and all(map(self.known, text)):
                         after.append((text, f"{name}>utf-8", PRICE - BONUS * made))
