@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from gleanery.llm import boilerplate as B
@@ -126,9 +127,12 @@ def scanned(spark):
         lines, cut = wrapped(rng, paragraph(rng, 14))
         wrong = set()
         for k, line in enumerate(lines):
-            if k not in cut and k - 1 not in cut and rng.random() < 0.04 and "bridge" in line:
-                lines[k] = line.replace("bridge", rng.choice(["6ridge", "briclge", "bridqe"]))
-                wrong.add(k)
+            known = [w for w in line.split() if w.isalpha() and w in NOUNS]
+            if k not in cut and k - 1 not in cut and rng.random() < 0.15 and known:
+                word, (x, y) = rng.choice(known), rng.choice([("e", "c"), ("r", "rr"), ("a", "o"), ("e", "")])
+                if x in word:  # recognition that is told from the corpus: replaced, put in, left out
+                    lines[k] = line.replace(word, word.replace(x, y, 1), 1)
+                    wrong.add(k)
         if i % 3 == 0:
             number = 40 + i
             pages, at = [], {}
@@ -154,6 +158,34 @@ def test_defects_on_held_out_noise(scanned, defect):
     assert len(want & have) >= 0.95 * len(want) and len(want & have) >= 0.95 * len(have)
 
 
+def test_an_untrained_model_finds_nothing():
+    editor = S.Editor(S.Counts(np.full(1 << 12, 40, np.uint8)), {("c", "e"): 9, ("", "e"): 9, ("1", ""): 9})
+    text = "A lcdger of the led-\nger 1\n\n- 5 -\nTitle\n\nand so on\n\n- 6 -\nTitle"
+    assert S.defects(text, "Title", editor)[0] == {}
+
+
+def test_edits_are_learned_from_words():
+    common = {w: 50 for w in "harbour ledger kernel terrace lantern chapter sensor meadow furnace bridge gazette parcel treatise".split()}
+    rare = {w.replace("e", "c", 1): 1 for w in common} | {w.replace("rn", "m"): 1 for w in common} | {w + "s": 1 for w in list(common)[:3]}
+    edits = S.learn_edits(common, {w: n for w, n in rare.items() if w not in common})
+    assert ("c", "e") in edits and ("s", "") not in edits
+    editor = S.train(S.Counts(cells(common)), edits, list(common), [], [])
+    assert editor.correct("tcrrace") == "terrace" and editor.correct("terrace") == "terrace" and editor.correct("zwcig") == "zwcig"
+
+
+def cells(words):
+    out = np.zeros(1 << 16, np.uint8)
+    for w, n in words.items():
+        for place in S.Counts.places(w, len(out)):
+            out[place] = S._step(np.array([n]))[0]
+    return out
+
+
+def test_long_words_and_many_equal_lines_end(spark):
+    rows = [(1, "t", "x" * 300_000), (2, "t", "line\n" * 30_000), (3, "t", "ab-\n" * 20_000), (4, "t", "7\n" * 20_000), (5, "t", "é" * 100_000)]
+    assert {r["defect"] for r in S.found(pdfs(spark, rows)).collect()} <= {"furniture", "broken", "misread"}
+
+
 def test_paragraphs_are_continuous():
     lines = ["The copper led-", "— 5 —", "ger is long-", "term here.", "", "## Head", "", "Next"]
     assert S.paragraphs(lines, {1}, {0}) == "The copper ledger is long-term here.\n\n## Head\n\nNext"
