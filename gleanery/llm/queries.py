@@ -98,6 +98,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(_documents(spark, d))
 
 
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_links(_documents(spark, d))
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     found = spans.shared_intervals(_documents(spark, d))
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
@@ -112,7 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_articles, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p5_neighbours, p6_found, p6_clean,
-        p7_ids, p8_selection, p8_shares, p9_found, p9_spans, p9_shared,
+        p7_ids, p8_selection, p8_shares, p9_found, p9_links, p9_spans, p9_shared,
     )
 }
 

@@ -6,11 +6,16 @@ characters that two records share has an anchor in common, at the same place wit
 those of more than one record are looked at again, now with the characters around them, which are enough to tell exactly
 whether a window of ``LENGTH`` characters around the anchor is equal. Overlapping windows merge into maximal intervals.
 
+With ``gram`` equal to ``length`` every window is an anchor, which is the plain method: all windows are counted and repeated
+ones merged. The results are the same; the shuffle is some sixty times as large.
+
 Scale. Counting shuffles one row of two numbers per some sixty characters, pre-combined; the text itself is never shuffled.
-Which anchors repeat is told to the second reading by a Bloom filter of at most ``BLOOM_BITS`` bits (32 MB), whatever the
-corpus; its false positives cost bytes, not results. Hot anchors (more than ``HOT`` occurrences) are paired in blocks of
-records over many tasks for the pair result; for the interval result they are not paired at all, but all their windows of
-``LENGTH`` characters are hashed and counted.
+Which anchors repeat is told to the second reading by Bloom filters of two probes and at most ``BLOOM_BITS`` bits (32 MB),
+each for ``FILTERED`` anchors at most; if more repeat, the texts are read once per range of hashes. False positives (a
+twentieth at most) cost bytes, not results. Anchors with more than ``HOT`` occurrences are told by a broadcast of their
+hashes up to ``FEW`` of them and by a salted join beyond that, so that none gathers in one task; for the pair result they are
+paired in blocks of records over many tasks, for the interval result not at all, but all their windows of ``length``
+characters are hashed and counted.
 
 Null, empty and short texts share nothing. Copies of a row, and rows of one id, do not share with each other. Overlaps of a
 text with itself do not count.
@@ -32,8 +37,12 @@ LENGTH = 200
 GRAM = 80
 #: Most bits of the filter of repeated anchors: 2**28 bits are 32 MB.
 BLOOM_BITS = 28
+#: Anchors in one filter at most: eight bits each.
+FILTERED = 1 << 25
 #: Occurrences of one anchor that are paired within one task.
 HOT = 256
+#: Hot anchors that are broadcast at most, and parts that others are salted into.
+FEW, SALTS = 200_000, 32
 #: Characters hashed at a time; positions within must fit 20 bits.
 _BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,10 +120,6 @@ def _texts(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).filter(F.col("d").isNotNull() & (F.length("t") >= length))
 
 
-def _bits(n: int) -> int:
-    return min(BLOOM_BITS, max(16, (16 * max(1, n)).bit_length()))
-
-
 def repeated_anchors(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(h)``: hashes of the anchors that stand in more than one record."""
 
@@ -133,9 +138,15 @@ def repeated_anchors(docs: DataFrame, key: str, text: str, length: int = LENGTH,
     return found.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("h")
 
 
-def _bloom(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter as bits: one row of 8192 bits per slice is packed on the executors, at most 32 MB in all."""
-    bits = _bits(repeated.count())
+def _cells(h, bits: int) -> tuple:
+    """Two cells of the filter for a hash, of a column or an array."""
+    mask = (1 << bits) - 1
+    return (h.bitwiseAND(mask), F.shiftright(h, 32).bitwiseAND(mask)) if not isinstance(h, np.ndarray) else (h & mask, h >> 32 & mask)
+
+
+def _bloom(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The filter of ``n`` anchors as bits: slices of 8192 bits are packed on the executors, at most 32 MB in all."""
+    bits = min(BLOOM_BITS, max(16, (8 * max(1, n)).bit_length()))
     low = min(13, bits)
 
     def pack(batch: pd.DataFrame) -> pd.DataFrame:
@@ -143,8 +154,8 @@ def _bloom(repeated: DataFrame) -> tuple[np.ndarray, int]:
         flags[batch["low"].to_numpy()] = True
         return pd.DataFrame({"part": [int(batch["part"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
 
-    cell = F.col("h").bitwiseAND((1 << bits) - 1)
-    parts = repeated.select(F.shiftright(cell, low).alias("part"), cell.bitwiseAND((1 << low) - 1).alias("low")).distinct()
+    cell = F.explode(F.array(*_cells(F.col("h"), bits)))
+    parts = repeated.select(cell.alias("cell")).select(F.shiftright("cell", low).alias("part"), F.col("cell").bitwiseAND((1 << low) - 1).alias("low")).distinct()
     filled = parts.groupBy("part").applyInPandas(pack, "part bigint, bits binary")
     out = np.zeros((1 << (bits - low), 1 << (low - 3)), np.uint8)
     for row in filled.toLocalIterator():
@@ -156,9 +167,23 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """``(h, d, at, left, right, more)``: the occurrences of repeated anchors with up to ``length - gram`` characters on each
     side, kept in the shared folder, as the results read them more than once. Occurrences of a record that look the same are
     one row; ``more`` has the places of the others."""
-    flags, bits = _bloom(stored(repeated_anchors(docs, key, text, length, gram), "anchors"))
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
-    side, mask = length - gram, (1 << bits) - 1
+    repeated = stored(repeated_anchors(docs, key, text, length, gram), "anchors")
+    n = repeated.count()
+    ranges = max(1, -(-n // FILTERED))
+    found = None
+    for r in range(ranges):
+        flags, bits = _bloom(repeated.filter(F.pmod(F.shiftright("h", 3), F.lit(ranges)) == r), n // ranges + 1)
+        part = _texts(docs, key, text, length).mapInArrow(_reading(docs.sparkSession.sparkContext.broadcast(flags), bits, r, ranges, length, gram), _OCCURRENCE)
+        found = part if found is None else found.unionByName(part)
+    return stored(found, "occurrences")
+
+
+_OCCURRENCE = "h bigint, d bigint, at bigint, left string, right string, more array<bigint>"
+
+
+def _reading(shared, bits: int, nth: int, ranges: int, length: int, gram: int):
+    """Reads texts again for the anchors of one range of hashes that the filter holds."""
+    side = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -168,8 +193,9 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             texts = batch.column(1).to_pylist()
             codes, starts = _joined(texts)
             place, h = anchors(codes, starts, length, gram)
-            cell = h & mask
-            hit = (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+            hit = (h >> 3) % ranges == nth
+            for cell in _cells(h, bits):
+                hit &= (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
             place, h = place[hit], h[hit]
             owner = np.searchsorted(starts, place, side="right") - 1
             at = place - starts[owner]
@@ -191,8 +217,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                 names=["h", "d", "at", "left", "right", "more"],
             )
 
-    found = _texts(docs, key, text, length).mapInArrow(run, "h bigint, d bigint, at bigint, left string, right string, more array<bigint>")
-    return stored(found, "occurrences")
+    return run
 
 
 def _matrix(texts: list[str], side: int, left: bool, salt: int) -> np.ndarray:
@@ -207,6 +232,8 @@ def _matrix(texts: list[str], side: int, left: bool, salt: int) -> np.ndarray:
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if not x.shape[1]:
+        return np.zeros(len(x), np.int64)
     differ = x != y
     return np.where(differ.any(1), differ.argmax(1), x.shape[1])
 
@@ -269,11 +296,20 @@ def _matches(length: int, gram: int, crossed: bool, once: bool):
     return run
 
 
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined (left) to ``few``, of which each key is one row: by broadcast if there are at most ``FEW``, else salted, as
+    a key may stand in any number of rows."""
+    if few.count() <= FEW:
+        return rows.join(F.broadcast(few), keys, "left")
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "salt"], "left").drop("salt")
+
+
 def _sized(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences of anchors that are not hot, and of those that are (with the number of their occurrences)."""
-    sizes = found.groupBy("h").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > HOT)
-    return found.join(hot, "h", "left_anti"), found.join(hot, "h")
+    hot = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "hot")
+    marked = _beside(found, hot, ["h"])
+    return marked.filter(F.col("n").isNull()).drop("n"), marked.filter(F.col("n").isNotNull())
 
 
 def _hot_blocks(hot: DataFrame) -> DataFrame:
@@ -314,11 +350,29 @@ def shared_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("h", "w", "o", "d", "start")})
 
     each = hot.select("h", "d", F.explode(F.concat(F.array("at"), "more")).alias("at"), "left", "right").mapInPandas(windows, "h bigint, w bigint, o bigint, d bigint, start bigint")
-    again = each.groupBy("h", "w", "o").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x <> y").select("h", "w", "o")
-    far = each.join(again, ["h", "w", "o"], "left_semi").select("d", "start", (F.col("start") + length).alias("end"))
+    again = stored(each.groupBy("h", "w", "o").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x <> y").select("h", "w", "o", F.lit(True).alias("again")), "again")
+    far = _beside(each, again, ["h", "w", "o"]).filter("again").select("d", "start", (F.col("start") + length).alias("end"))
     return merged(near.unionByName(far).distinct()).withColumnRenamed("d", key)
 
 
+def shared_links(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(key, class_id, n_links)`` of every record with text: the least id of the records with the same text, and how many other
+    records have at least ``length`` consecutive characters in common with it. Copies are compared once, by their class, so
+    that their pairs are never made. Of several texts of one id the one counts whose class has the least id."""
+    rows = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
+    mark = [F.xxhash64("t").alias("x"), F.xxhash64(F.lit(1), "t").alias("y"), F.length("t").alias("n")]
+    marked = rows.select("d", *mark).distinct()
+    classes = marked.groupBy("x", "y", "n").agg(F.min("d").alias("c"), F.countDistinct("d").alias("size"))
+    members = stored(marked.join(classes, ["x", "y", "n"]).groupBy("d").agg(F.min(F.struct("c", "size", "n")).alias("m")).select("d", "m.*"), "members")
+    heads = rows.join(members.filter("d = c").select("d"), "d", "left_semi")  # AQE broadcasts it or splits what is skewed
+    pairs = shared_pairs(heads, "d", "t", length, gram)
+    both = pairs.select(F.col("doc_id_a").alias("c"), F.col("doc_id_b").alias("o")).unionByName(pairs.select(F.col("doc_id_b").alias("c"), F.col("doc_id_a").alias("o")))
+    sizes = members.filter("d = c").select(F.col("c").alias("o"), "size")
+    linked = both.join(sizes, "o").groupBy("c").agg(F.sum("size").alias("linked"))
+    own = F.when(F.col("n") >= length, F.col("size") - 1).otherwise(F.lit(0))
+    return members.join(linked, "c", "left").select(F.col("d").alias(key), F.col("c").alias("class_id"), (own + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
 def merged(intervals: DataFrame) -> DataFrame:
     """Overlapping or touching intervals of each ``d`` united."""
     order = Window.partitionBy("d").orderBy("start", "end")

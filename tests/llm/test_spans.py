@@ -80,3 +80,44 @@ def test_hot_hash_is_split_without_loss(spark, monkeypatch):
     docs = [(d, "".join(rng.choice("ijk") for _ in range(60)) + shared + str(d) * 40) for d in range(60)]
     got = {tuple(r) for r in S.shared_pairs(frame(spark, docs)).collect()}
     assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+
+
+@pytest.mark.parametrize("filtered, few", [(3, 0), (1 << 25, 0)])
+def test_ranges_of_filters_and_salted_joins_lose_nothing(spark, monkeypatch, filtered, few):
+    monkeypatch.setattr(S, "FILTERED", filtered)
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "HOT", 3)
+    docs = corpus(7)[::2]
+    pairs, covered = brute(docs, 200)
+    df = frame(spark, docs)
+    assert {tuple(r) for r in S.shared_pairs(df).collect()} == pairs
+    got = defaultdict(set)
+    for r in S.shared_intervals(df).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert got == covered
+
+
+def test_every_window_counted_gives_the_same(spark):
+    docs = corpus(11)
+    pairs, covered = brute(docs, 200)
+    df = frame(spark, docs)
+    assert {tuple(r) for r in S.shared_pairs(df, gram=200).collect()} == pairs
+    got = defaultdict(set)
+    for r in S.shared_intervals(df, gram=200).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert got == covered
+
+
+def test_links_of_classes(spark):
+    docs = corpus(13) + [(200 + i, corpus(13)[0][1]) for i in range(3)] + [(300 + i, "short") for i in range(3)]
+    pairs, _ = brute(docs, 200)
+    links = defaultdict(int)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in S.shared_links(frame(spark, docs)).collect()}
+    first = {}
+    for d, t in docs:
+        if t is not None:
+            first.setdefault(t, d)
+    assert rows == {d: (first[t], links[d]) for d, t in docs if t is not None}
