@@ -42,8 +42,11 @@ def _levels(targets: pd.DataFrame) -> pd.DataFrame:
     return targets.assign(level=level)
 
 
-def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
-    """A row per mix and source: ``weight, rounds, tokens, n_docs, budget, level``. sizes: ``doc_id, source, n_tokens``."""
+def plan(sizes: DataFrame, targets: DataFrame, budget: int | str | None = None) -> DataFrame:
+    """A row per mix and source: ``weight, rounds, tokens, n_docs, budget, level``. sizes: ``doc_id, source, n_tokens``.
+
+    budget: tokens of a mix; "all": as many as all documents of its sources have, so that small sources are repeated, run
+    out, and their shares fall behind; None: the most at which every source that has documents still reaches its share."""
     wanted = (
         targets.filter(F.col("mix_id").isNotNull() & F.col("source").isNotNull() & (F.col("target_share") > 0))
         .groupBy("mix_id", "source")
@@ -54,7 +57,8 @@ def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> Dat
     rows = wanted.join(have, "source", "left").fillna({"tokens": 0, "n_docs": 0})
     mix, some = Window.partitionBy("mix_id"), F.col("tokens") > 0
     most = F.floor(F.min(F.when(some, F.col("tokens") * F.col("rounds") / F.col("weight"))).over(mix) * F.sum(F.when(some, F.col("weight"))).over(mix))
-    total: Column = F.lit(float(budget)) if budget is not None else F.coalesce(most, F.lit(0)).cast("double")
+    given = F.coalesce(F.sum("tokens").over(mix) if budget == "all" else most, F.lit(0)).cast("double")
+    total: Column = given if budget in (None, "all") else F.lit(float(budget))
     rows = rows.select("mix_id", "source", "weight", "rounds", "tokens", "n_docs", total.alias("budget"))
     schema = "mix_id string, source string, weight double, rounds int, tokens bigint, n_docs bigint, budget double, level double"
     return rows.groupBy("mix_id").applyInPandas(_levels, schema)
@@ -71,12 +75,16 @@ def select(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     within = Window.partitionBy("mix_id", "source", "part").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = docs.withColumn("inside", F.sum("n_tokens").over(within)).join(offsets, ["mix_id", "source", "part"])
     first = (F.col("offset") + F.col("inside")) / F.col("weight")
+    # only rounds that can end below the level are made; one document may end past it and still be the one that fills the budget
+    last = F.col("level") * 1.001 + F.col("n_tokens") / F.col("weight")
+    made = F.least(F.col("rounds"), F.floor((last - F.col("first")) / (F.col("tokens") / F.col("weight")) + 1).cast("int"))
     copies = (
         placed.withColumn("first", first)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
+        .withColumn("made", made)
+        .filter("made >= 1")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("made"))))
         .withColumn("finish", F.col("first") + (F.col("copy") - 1) * (F.col("tokens") / F.col("weight")))
-        # one document may end past the level and still be the one that fills the budget
-        .filter(F.col("finish") <= F.col("level") * 1.001 + F.col("n_tokens") / F.col("weight"))
+        .filter(F.col("finish") <= last)
         .withColumn("time", F.floor(F.col("finish") / F.col("level") * TIME_BUCKETS))
     )
     per_time = copies.groupBy("mix_id", "time").agg(F.sum("n_tokens").alias("in_time"))

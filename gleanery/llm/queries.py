@@ -36,7 +36,8 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "chunks", "chunk_id", "start_line", "text"))
+    rows = table(spark, d, "chunks", "chunk_id", "start_line", "text", "loaded_at")
+    return splitting.split_oversized(rows, order="loaded_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +71,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents", "doc_id", "source", "text", "loaded_at").filter(F.col("source").isNotNull())
+    rows = table(spark, d, "documents", "doc_id", "source", "text", "loaded_at")
     counted = tokens.count(rows.withColumn("at", F.col("loaded_at").cast("string")), ["doc_id", "source", "at"])
-    return counted.groupBy("doc_id").agg(F.max(F.struct("at", "source", "n_tokens")).alias("last")).select("doc_id", "last.source", "last.n_tokens")
+    return counted.groupBy("doc_id").agg(F.max(F.struct("at", "source", "n_tokens")).alias("last")).select("doc_id", "last.source", "last.n_tokens").filter("source is not null")
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +91,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.select(sizes, planned), planned)
 
 
+def p8_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each mix at the size of all documents of its sources: small sources are used up and shares fall behind."""
+    from gleanery.session import stored
+
+    sizes = stored(_sizes(spark, d), "sizes")
+    planned = mixing.plan(sizes, table(spark, d, "mix_targets"), "all")
+    return mixing.shares(mixing.select(sizes, planned), planned)
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text")
 
@@ -116,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_articles, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p5_neighbours, p6_found, p6_clean,
-        p7_ids, p8_selection, p8_shares, p9_found, p9_links, p9_spans, p9_shared,
+        p7_ids, p8_selection, p8_shares, p8_full_shares, p9_found, p9_links, p9_spans, p9_shared,
     )
 }
 

@@ -70,11 +70,12 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         done, start = end, max(0, end - overlap)
 
 
-def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", line: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", line: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP, order: str | None = None) -> DataFrame:
     """Pieces of the texts longer than ``limit`` characters:
     ``(key, piece_no, start_line, end_line, start_char, n_chars, hash, piece)``, piece_no from 1.
 
-    Repeated rows (same key and text) give one set of pieces. A null start line gives null lines. Other columns are ignored."""
+    Repeated rows (same key and text) give one set of pieces, and so, with ``order``, do rows of one key: of the longer texts
+    the one latest in this column counts. A null start line gives null lines. Other columns are ignored."""
     schema = StructType(
         [StructField(key, LongType()), StructField("piece_no", IntegerType()), StructField("start_line", IntegerType()), StructField("end_line", IntegerType())]
         + [StructField("start_char", IntegerType()), StructField("n_chars", IntegerType()), StructField("hash", StringType()), StructField("piece", StringType())]
@@ -96,4 +97,9 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", li
             yield out.astype({"piece_no": "Int32", "start_line": "Int32", "end_line": "Int32", "start_char": "Int32", "n_chars": "Int32"})
 
     large = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(line).alias("n")).filter(F.length("t") > limit)
+    if order:
+        # sizes and hashes settle equal times; only oversized texts are shuffled
+        rows = df.filter(F.length(text) > limit).select(F.col(key).cast("long").alias("k"), F.struct(F.col(order), F.xxhash64(text), F.col(text).alias("t"), F.col(line).alias("n")).alias("x"))
+        large = rows.filter("k is not null").groupBy("k").agg(F.max("x").alias("x")).select("k", "x.t", "x.n").unionByName(rows.filter("k is null").select("k", "x.t", "x.n").dropDuplicates())
+        return large.mapInPandas(pieces, schema)
     return large.dropDuplicates().mapInPandas(pieces, schema)

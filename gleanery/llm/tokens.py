@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest text, in characters, that is encoded in one call.
 WHOLE = 100_000
-_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=\s[\p{L}\p{N}])")
+_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=\s[\p{L}\p{N}])|(?<=\p{L})(?=[^\s\p{L}\p{N}'])")
 
 
 def rank_file(name: str = VOCABULARY) -> str:

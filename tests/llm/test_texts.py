@@ -73,6 +73,14 @@ def test_long_texts_are_cut_without_trace():
     assert T.ids_of(text, path, 300).tolist() == T.ids_of(text, path).tolist()
 
 
+def test_long_texts_without_blanks_are_cut_at_punctuation():
+    rng = random.Random(4)
+    text = "".join(rng.choice(["漢字", "仮名", "。", "、", "'s", "abc", "9", "''", "!?"]) for _ in range(4000))
+    path = T.rank_file()
+    assert max(map(len, T.parts(text, 300))) < 600
+    assert T.ids_of(text, path, 300).tolist() == T.ids_of(text, path).tolist()
+
+
 SIZES, TARGETS = "doc_id long, source string, n_tokens long", "mix_id string, source string, target_share double, max_repeats int"
 
 
@@ -101,6 +109,21 @@ def test_a_larger_budget_takes_more_of_what_is_left(spark):
     assert shares["m", "a"]["taken_tokens"] == 1000 and shares["m", "b"]["taken_tokens"] == 200
 
 
+def test_a_budget_of_all_documents_uses_small_sources_up(spark):
+    sizes = spark.createDataFrame([(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(10)], SIZES)
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 3)], TARGETS)
+    planned = M.plan(sizes, targets, "all")
+    got = {r["source"]: r for r in M.shares(M.select(sizes, planned), planned).collect()}
+    assert got["a"]["budget"] == 1100 and got["b"]["used_up"] and got["b"]["most_copies"] == 3 and got["b"]["taken_tokens"] == 300
+    assert got["a"]["taken_tokens"] == 800 and got["b"]["actual_share"] < got["b"]["target_share"]
+
+
+def test_the_latest_of_two_oversized_texts_is_split(spark):
+    rows = [(1, "a " * 1000, 1, 1), (1, "b " * 1200, 1, 2), (1, "b " * 1200, 1, 2), (2, "c " * 1000, 1, None), (None, "d " * 1000, 1, 1)]
+    got = P.split_oversized(spark.createDataFrame(rows, "chunk_id long, text string, start_line int, loaded_at int"), order="loaded_at").collect()
+    assert {(r["chunk_id"], r["piece"][0]) for r in got if r["piece_no"] == 1} == {(1, "b"), (2, "c"), (None, "d")}
+
+
 @pytest.mark.parametrize("sizes, targets", [([], [("m", "a", 1.0, 1)]), ([(1, "a", 5)], []), ([(1, "a", 5)], [("m", "a", None, 1), ("m", None, 0.5, 1), ("n", "a", 0.0, 1), ("o", "a", 0.5, 0)])])
 def test_nothing_to_select(spark, sizes, targets):
     assert mixed(spark, sizes, targets)[1] == []
