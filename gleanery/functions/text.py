@@ -62,8 +62,8 @@ def word_count(text: Column) -> Column:
 
 
 def callouts(text: Column) -> Column:
-    """Dated update callouts in bold."""
-    return F.regexp_count(text, F.lit(r"(?i)\*\*[^*\n]*update[^*\n]*\d{4}-\d{2}-\d{2}[^*\n]*\*\*"))
+    """Dated callouts in bold: an update, a milestone or a change of status, with its date in parentheses."""
+    return F.regexp_count(text, F.lit(r"(?i)\*\*[^*\n]{0,80}(?:update|milestone|status updated)[^*\n]{0,80}\(\d{4}-\d{2}-\d{2}"))
 
 
 def normal_name(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.vault import is_content, is_stub
+from gleanery.operators.vault import is_content
 
 #: Sections of the index in the order shown, by page type.
 SECTIONS = ["synthesis", "authored", "moc", "concept", "source", "entity"]
@@ -23,14 +23,16 @@ def ordinal(value: Column, order: list[str]) -> Column:
 
 
 def catalog(pages: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``section, place, n, entries``: content pages per type as lines of links in order of path, stubs marked, other types last."""
+    """``section, place, path, entry``: content pages as lines of links, declared stubs marked, items of a backlog left out (where
+    pages have a ``kind``); in order of place and path they are the catalog, sections of other types last. A row per page, so a
+    section may be of any size."""
     order = order or SECTIONS
     rows = pages.filter(is_content(F.col("path")))
+    if "kind" in pages.columns:
+        rows = rows.filter(F.coalesce(F.col("kind") != "backlog-item", F.lit(True)))
     section = F.when(F.col("type").isin(order), F.col("type")).otherwise("other")
-    line = F.concat(F.lit("- [["), F.col("name"), F.lit("]]"), F.when(is_stub(F.col("status"), F.col("words")), " (stub)").otherwise(""))
-    rows = rows.select(section.alias("section"), "path", line.alias("line"))
-    grouped = rows.groupBy("section").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "line"))).alias("l"))
-    return grouped.select("section", ordinal(F.col("section"), order).cast("int").alias("place"), "n", F.array_join(F.col("l.line"), "\n").alias("entries"))
+    line = F.concat(F.lit("- [["), F.col("name"), F.lit("]]"), F.when(F.col("status") == "stub", " (stub)").otherwise(""))
+    return rows.select(section.alias("section"), ordinal(section, order).cast("int").alias("place"), "path", line.alias("entry"))
 
 
 def groups(df: DataFrame, key: Column, label: Column, order: str, least: int = 1) -> DataFrame:

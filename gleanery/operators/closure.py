@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.vault import is_structural
-from gleanery.session import stored
+from gleanery.session import shared_dir, stored
 
 
-def closure(referrers: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(referrers: DataFrame, seeds: DataFrame) -> DataFrame:
     """``path, round``: the least set with the seeds in which every page is taken whose referrers (at least one, structural
     pages not counted) are all taken; structural pages are taken only as seeds. referrers: ``path, referrer``, distinct.
 
     Semi-naive: a round only looks at pages that the pages taken in the round before refer to, and counts how many of their
-    referrers have been taken, so the work per round follows what is new. Each round is written to the shared folder."""
+    referrers have been taken, so the work per round follows what is new. Each round is appended to a table in the shared folder; it ends when a round
+    takes nothing, however many there are."""
     live = referrers.filter(~is_structural(F.col("referrer")))
     need = stored(live.filter(~is_structural(F.col("path"))).groupBy("path").agg(F.count("*").alias("need")), "need")
     edges = stored(live, "edges")
-    taken = stored(seeds.select("path").distinct().withColumn("round", F.lit(0)), "taken")
-    new = taken
-    for n in range(1, rounds + 1):
+    spark = referrers.sparkSession
+    folder, schema, n = f"{shared_dir(spark)}/taken-{uuid.uuid4().hex}", "path string, round int", 0
+
+    def rounds() -> DataFrame:
+        return spark.read.schema(schema).parquet(folder)
+
+    seeds.select("path").distinct().withColumn("round", F.lit(0)).write.parquet(folder)
+    taken = new = rounds()
+    while not new.isEmpty():
+        n += 1
         near = edges.join(new.select(F.col("path").alias("referrer")), "referrer", "left_semi").select("path").distinct()
         got = edges.join(near, "path", "left_semi").join(taken.select(F.col("path").alias("referrer")), "referrer", "left_semi").groupBy("path").agg(F.count("*").alias("got"))
         fresh = got.join(need, "path").filter("got = need").join(taken, "path", "left_anti").select("path", F.lit(n).alias("round"))
-        new = stored(fresh, "round")
-        if new.isEmpty():
-            break
-        taken = stored(taken.unionByName(new), "taken")
+        fresh.write.mode("append").parquet(folder)
+        taken = rounds()
+        new = taken.filter(F.col("round") == n)
     return taken
 
 

@@ -8,10 +8,11 @@ splits hot targets where it isn't.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators.repair import resolve_dewrap
 from gleanery.operators.vault import is_content, is_evidence, is_root, is_stub
 
 #: Score: weight and cap per finding.
@@ -103,16 +104,42 @@ def backfill_pending(pages: DataFrame, resolved: DataFrame) -> DataFrame:
     return without.join(_raw_citing(resolved), "path", "left_semi").select("path")
 
 
+def _declares(pages: DataFrame) -> Column:
+    """Whether a page declares that it has no sources; pages without such a column say nothing."""
+    return F.coalesce(F.col("declares_no_sources"), F.lit(False)) if "declares_no_sources" in pages.columns else F.lit(False)
+
+
 def provenance_gaps(pages: DataFrame, resolved: DataFrame) -> DataFrame:
-    return pages.filter(F.col("path").startswith("wiki/sources/")).join(_raw_citing(resolved), "path", "left_anti").select("path")
+    """Source pages that cite no raw file and don't declare that they have none."""
+    return pages.filter(F.col("path").startswith("wiki/sources/") & ~_declares(pages)).join(_raw_citing(resolved), "path", "left_anti").select("path")
+
+
+def declared_gaps(pages: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Content pages that declare no sources and have none: source pages that cite no raw file, others that reach none."""
+    said = pages.filter(_declares(pages) & is_content(F.col("path"))).select("path")
+    own = F.col("path").startswith("wiki/sources/")
+    without = said.filter(own).join(_raw_citing(resolved), "path", "left_anti")
+    reached = evidence_walk(resolved.select("source", F.col("resolved").alias("target")), said.filter(~own), is_evidence)
+    return without.unionByName(said.filter(~own).join(reached.filter(F.col("evidence").startswith("raw/")), "path", "left_anti"))
+
+
+def declared_stubs(pages: DataFrame) -> DataFrame:
+    return pages.filter(is_content(F.col("path")) & (F.col("status") == "stub")).select("path")
+
+
+def monoliths(pages: DataFrame, words: int = 3000, callouts: int = 3) -> DataFrame:
+    """Authored pages of more than ``words`` words with at least ``callouts`` dated updates. pages: ``path, words, callouts``."""
+    return pages.filter(is_content(F.col("path")) & F.col("path").startswith("wiki/authored/") & (F.col("words") > words) & (F.col("callouts") >= callouts)).select("path")
 
 
-def evidence_walk(edges: DataFrame, starts: DataFrame, evidence, depth: int = 3) -> DataFrame:
+def evidence_walk(edges: DataFrame, starts: DataFrame, evidence, depth: int = 3, edges_distinct: bool = False) -> DataFrame:
     """``path, evidence``: evidence reached within ``depth`` hops of ``starts (path)``; the first hop must be evidence.
 
     edges: ``source, target``. evidence: a function from the column of a path to whether it is evidence. Unrolled into ``depth``
-    joins; the frontier is reduced to distinct pairs after each hop, so it never holds more than one row per pair."""
-    e = edges.filter("source is not null and target is not null").select("source", "target").distinct()
+    joins; the frontier is reduced to distinct pairs after each hop, so it never holds more than one row per pair.
+    edges_distinct: whether the caller has made them so."""
+    e = edges.filter("source is not null and target is not null").select("source", "target")
+    e = e if edges_distinct else e.distinct()
     step = starts.join(e, F.col("path") == F.col("source")).select("path", F.col("target").alias("at")).filter(evidence(F.col("at")))
     seen = step
     for hop in range(2, depth + 1):
@@ -123,11 +150,9 @@ def evidence_walk(edges: DataFrame, starts: DataFrame, evidence, depth: int = 3)
     return seen.filter(evidence(F.col("at")) & (F.col("at") != F.col("path"))).distinct().select("path", F.col("at").alias("evidence"))
 
 
-def unreachable(pages: DataFrame, resolved: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """Wiki pages other than source pages from which no raw file is reached."""
-    need = pages.filter(F.col("path").startswith("wiki/") & ~F.col("path").startswith("wiki/sources/")).select("path")
-    if declared is not None:
-        need = need.join(declared, "path", "left_anti")
+def unreachable(pages: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Wiki pages other than source pages from which no raw file is reached and that don't declare that they have none."""
+    need = pages.filter(F.col("path").startswith("wiki/") & ~F.col("path").startswith("wiki/sources/") & ~_declares(pages)).select("path")
     reached = evidence_walk(resolved.select("source", F.col("resolved").alias("target")), need, is_evidence)
     return need.join(reached.filter(F.col("evidence").startswith("raw/")), "path", "left_anti")
 
@@ -160,16 +185,23 @@ def suggestions(targets: DataFrame, pages: DataFrame, most: int = 2) -> DataFram
     spots = spots.filter((begin >= 1) & (size >= 1)).withColumn("part", F.substring("nt", begin, size)).filter(F.length("part") == size)
     near = spots.select("target", "nt", "n", "i", "part").distinct().join(keyed, ["n", "i", "part"])
     near = near.filter(F.levenshtein("nt", "nn", most) >= 0).select("target", "real", F.lit(1).alias("rank"), "path")
-    tiny = wanted.filter(F.length("nt") <= most).join(known.filter(F.length("nn") <= most), F.levenshtein("nt", "nn", most) >= 0).select("target", "real", F.lit(1).alias("rank"), "path")
+    # forms of at most ``most`` ASCII characters: their number is bounded, whatever the number of targets
+    few = wanted.filter(F.length("nt") <= most).select("nt").distinct().join(known.filter(F.length("nn") <= most), F.levenshtein("nt", "nn", most) >= 0).select("nt", "real", "path")
+    tiny = wanted.join(few, "nt").select("target", "real", F.lit(1).alias("rank"), "path")
     return exact.unionByName(near).unionByName(tiny).groupBy("target").agg(F.min(F.struct("rank", "path", "real")).alias("s")).select("target", F.col("s.real").alias("suggest"))
 
 
 def classify_broken(bad: DataFrame, pages: DataFrame, today: str, stale_days: int = 90, demand: int = 3) -> DataFrame:
     """``source, target, class, suggest, refs``: defect (a near page exists, or the link runs over a line end), stale (old page,
     little asked for) or deferred. refs: broken links with this target."""
-    refs = Window.partitionBy("target")
+    refs = bad.groupBy("target").agg(F.count("*").alias("refs"))
     dates = pages.select(F.col("path").alias("source"), F.coalesce("updated", "created").alias("day"))
-    rows = bad.withColumn("refs", F.count("*").over(refs)).join(suggestions(bad.select("target"), pages), "target", "left").join(dates, "source", "left")
+    targets = refs.select("target")
+    wrapped = F.col("target").contains("\n")
+    # a target over several lines can only mean what its joined forms name; others are held against near names
+    names = pages.filter(is_content(F.col("path"))).select("name")
+    near = suggestions(targets.filter(~wrapped), pages).unionByName(resolve_dewrap(targets.filter(wrapped), names).select("target", F.col("chosen").alias("suggest")))
+    rows = bad.join(refs.join(near, "target", "left"), "target").join(dates, "source", "left")
     age = F.datediff(F.lit(today).cast("date"), F.col("day"))
     kind = F.when(F.col("target").contains("\n") | F.col("suggest").isNotNull(), "defect").when((age > stale_days) & (F.col("refs") < demand), "stale").otherwise("deferred")
     return rows.select("source", "target", kind.alias("class"), "suggest", "refs")

@@ -153,10 +153,10 @@ def dewrapped(target: Column) -> Column:
 
 
 def resolve_dewrap(targets: DataFrame, names: DataFrame) -> DataFrame:
-    """``target, chosen``: the candidate that is a known name, if there is only one. names: ``name``."""
-    c = targets.select("target").distinct().select("target", F.explode(dewrapped(F.col("target"))).alias("candidate"))
+    """``target, chosen``: the candidate that is a known name, if they name one only; of its spellings the first. names: ``name``."""
+    c = targets.select("target").distinct().select("target", F.posexplode(dewrapped(F.col("target"))).alias("i", "candidate"))
     known = names.select(T.normal_name(F.col("name")).alias("n")).filter("n <> ''").distinct()
-    hit = c.withColumn("n", T.normal_name(F.col("candidate"))).join(known, "n").groupBy("target").agg(F.countDistinct("n").alias("k"), F.min("candidate").alias("chosen"))
+    hit = c.withColumn("n", T.normal_name(F.col("candidate"))).join(known, "n").groupBy("target").agg(F.countDistinct("n").alias("k"), F.min_by("candidate", "i").alias("chosen"))
     return hit.filter("k = 1").select("target", "chosen")
 
 
@@ -174,13 +174,22 @@ def roadmap_items(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("n", again).select(key, "item_no", "title", F.when(F.col("n") == 1, slug).otherwise(F.concat(slug, F.lit("-"), F.col("n"))).alias("slug"), "body")
 
 
-def distinct_slugs(df: DataFrame, key: str, title: str, suffix: str) -> DataFrame:
+def distinct_slugs(df: DataFrame, key: str, title: str, suffix: str, ranges: int = 64) -> DataFrame:
     """``key, slug``: file names without clashes: the second of one slug gets the first 7 characters of ``suffix``, further
-    ones a number as well."""
+    ones a number as well.
+
+    Rows of one slug (untitled ones, say) may be many: they are numbered within ranges of the key, found by its quantiles, and
+    the counts of the ranges before are added."""
     from pyspark.sql import Window
 
     slug = T.slug(F.col(title))
-    n = F.row_number().over(Window.partitionBy("s").orderBy(key))
+    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 1000)).head()[0] or []
+    part = F.aggregate(F.array(*[F.lit(c) for c in sorted(set(cuts))]), F.lit(0), lambda n, c: n + (F.col(key) > c).cast("int")) if cuts else F.lit(0)
     short = F.left(F.coalesce(F.col(suffix), F.lit("")), F.lit(7))
     name = F.when(F.col("n") == 1, F.col("s")).when(F.col("n") == 2, F.concat("s", F.lit("-"), short)).otherwise(F.concat("s", F.lit("-"), short, F.lit("-"), F.col("n") - 1))
-    return df.withColumn("s", slug).withColumn("n", n).select(key, name.alias("slug"))
+    rows = df.withColumn("s", slug).withColumn("part", part)
+    sizes = rows.groupBy("s", "part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("s", "part", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("s", "part").orderBy(key))
+    return rows.withColumn("i", within).join(offsets, ["s", "part"]).withColumn("n", F.col("i") + F.col("offset")).select(key, name.alias("slug"))

@@ -23,10 +23,9 @@ def wiki(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VAULT}, c AS (SELECT CASE WHEN type IN ({_SECTIONS}) THEN type ELSE 'other' END AS section, path, '- [[' || name || ']]' || CASE WHEN coalesce(status = 'stub', false) OR coalesce(words, 0) < 10 THEN ' (stub)' ELSE '' END AS line
+    f"""WITH {VAULT}, c AS (SELECT CASE WHEN type IN ({_SECTIONS}) THEN type ELSE 'other' END AS section, path, '- [[' || name || ']]' || CASE WHEN status = 'stub' THEN ' (stub)' ELSE '' END AS entry
   FROM pages WHERE {content('path')})
-SELECT section, CAST(CASE WHEN list_position([{_SECTIONS}], section) IS NULL OR list_position([{_SECTIONS}], section) = 0 THEN {len(C.SECTIONS) + 1} ELSE list_position([{_SECTIONS}], section) END AS INTEGER) AS place,
-  count(*) AS n, string_agg(line, chr(10) ORDER BY path) AS entries FROM c GROUP BY section"""
+SELECT section, CAST(CASE WHEN list_position([{_SECTIONS}], section) IS NULL OR list_position([{_SECTIONS}], section) = 0 THEN {len(C.SECTIONS) + 1} ELSE list_position([{_SECTIONS}], section) END AS INTEGER) AS place, path, entry FROM c"""
 )
 def ct_catalog(spark: SparkSession, d: str) -> DataFrame:
     return C.catalog(V.pages(spark, d))

@@ -77,6 +77,6 @@ def vx_refresh(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d, "text", "created", "n_chars").filter("text is not null and text <> ''")
     files = docs.select(F.concat(F.lit("wiki/"), "doc_id", F.lit(".md")).alias("path"), F.regexp_extract("text", r"(?m)^# +(.*?)[ \t\r]*$", 1).alias("title"), "text", F.col("created").alias("mtime"), F.length("text").alias("size"))
     refresh.refresh(spark, files, root)
-    later = files.filter("size % 10 <> 0").withColumn("text", F.when(F.col("size") % 7 == 0, F.concat("text", F.lit("\n\nAdded."))).otherwise(F.col("text"))).withColumn("size", F.length("text"))
+    later = files.filter("mtime is null or mtime < date'2026-02-20'").withColumn("text", F.when(F.col("mtime") >= F.lit("2025-10-01").cast("date"), F.concat("text", F.lit("\n\nAdded."))).otherwise(F.col("text"))).withColumn("size", F.length("text"))
     done = refresh.refresh(spark, later, root)
     return spark.createDataFrame(sorted(done.items()), "what string, n long")

@@ -26,9 +26,9 @@ allclips AS (SELECT DISTINCT clip_id, path, title, source, topic, created, captu
   UNION ALL SELECT DISTINCT clip_id, path, title, source, topic, created, captured_at, source_hash, md FROM pdf_clips),
 pages AS (
   SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?i)\.md$', '')) AS name, title, page_status AS status, page_type AS type, words, created,
-    CAST(updated_at AS DATE) AS updated, topic, NULL AS source, NULL AS source_hash, list_transform(source_hashes, lambda h: lower(trim(h))) AS source_hashes FROM wp
+    CAST(updated_at AS DATE) AS updated, topic, NULL AS source, NULL AS source_hash, list_transform(source_hashes, lambda h: lower(trim(h))) AS source_hashes, coalesce(len(sources) = 0, false) AS declares FROM wp
   UNION ALL SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?i)\.md$', '')), title, NULL, 'clip',
-    len(regexp_extract_all(coalesce(md, ''), '\S+')), created, created, topic, source, nullif(lower(trim(source_hash)), ''), NULL FROM allclips),
+    len(regexp_extract_all(coalesce(md, ''), '\S+')), created, created, topic, source, nullif(lower(trim(source_hash)), ''), NULL, false FROM allclips),
 rawlinks AS (
   SELECT path AS source, 'prov' AS channel, unnest(sources) AS entry FROM wp
   UNION ALL SELECT path, 'nav', unnest(regexp_extract_all(text, '\[\[([^\]|#]+)', 0)) FROM (SELECT DISTINCT chunk_id, path, text FROM chunks WHERE contains(text, '[['))),
@@ -109,14 +109,14 @@ def gr_backfill_pending(spark: SparkSession, d: str) -> DataFrame:
     return G.backfill_pending(*vault(spark, d))
 
 
-@query(f"WITH {VAULT} SELECT path FROM pages WHERE starts_with(path, 'wiki/sources/') AND path NOT IN (SELECT path FROM raw_citing)")
+@query(f"WITH {VAULT} SELECT path FROM pages WHERE starts_with(path, 'wiki/sources/') AND NOT declares AND path NOT IN (SELECT path FROM raw_citing)")
 def gr_provenance_gaps(spark: SparkSession, d: str) -> DataFrame:
     return G.provenance_gaps(*vault(spark, d))
 
 
 _WALK = """
 e AS (SELECT DISTINCT source, resolved AS target FROM resolved WHERE resolved IS NOT NULL),
-need AS (SELECT path FROM pages WHERE starts_with(path, 'wiki/') AND NOT starts_with(path, 'wiki/sources/')),
+need AS (SELECT path, declares FROM pages WHERE starts_with(path, 'wiki/') AND NOT starts_with(path, 'wiki/sources/')),
 h1 AS (SELECT DISTINCT path, target AS node FROM need JOIN e ON e.source = path WHERE regexp_matches(target, '^(raw|wiki/sources)/')),
 h2 AS (SELECT DISTINCT path, target AS node FROM h1 JOIN e ON e.source = node),
 h3 AS (SELECT DISTINCT path, target AS node FROM h2 JOIN e ON e.source = node),
@@ -130,16 +130,20 @@ def gr_evidence_walk(spark: SparkSession, d: str) -> DataFrame:
     return G.evidence_walk(resolved.select("source", F.col("resolved").alias("target")), need, V.is_evidence)
 
 
-@query(f"WITH {VAULT}, {_WALK} SELECT path FROM need WHERE path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/'))")
+@query(f"WITH {VAULT}, {_WALK} SELECT path FROM need WHERE NOT declares AND path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/'))")
 def gr_unreachable(spark: SparkSession, d: str) -> DataFrame:
     return G.unreachable(*vault(spark, d))
 
 
+#: A target over several lines, joined in the ways it may have been broken.
+_JOINED = [rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))" for x in (r"regexp_replace(target, '-[ \t]*\r?\n[ \t]*', '-', 'g')", "target", r"regexp_replace(target, '-[ \t]*\r?\n[ \t]*', '', 'g')")]
 _NORMAL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _CLASSIFY = rf"""
 known AS (SELECT {_NORMAL.replace('{0}', 'name')} AS nn, arg_min(coalesce(title, name), path) AS real, min(path) AS path FROM pages WHERE {content('path')} GROUP BY 1),
-t AS (SELECT DISTINCT target, {_NORMAL.replace('{0}', 'target')} AS nt FROM broken),
-sug AS (SELECT target, arg_min(real, (rank, path)) AS suggest FROM (
+t AS (SELECT DISTINCT target, {_NORMAL.replace('{0}', 'target')} AS nt FROM broken WHERE NOT contains(target, chr(10))),
+wrapped AS (SELECT DISTINCT target, {_NORMAL.replace('{0}', 'c')} AS n, c, i FROM (SELECT target, unnest([{_JOINED[0]}, {_JOINED[1]}, {_JOINED[2]}]) AS c, unnest([0, 1, 2]) AS i FROM (SELECT DISTINCT target FROM broken WHERE contains(target, chr(10))))),
+meant AS (SELECT target, arg_min(c, i) AS suggest FROM wrapped JOIN known ON n = nn AND nn <> '' GROUP BY target HAVING count(DISTINCT n) = 1),
+sug AS (SELECT * FROM meant UNION ALL SELECT target, arg_min(real, (rank, path)) AS suggest FROM (
   SELECT target, real, 0 AS rank, known.path FROM t JOIN known ON nt = nn AND nn <> '' WHERE real <> target
   UNION ALL SELECT target, real, 1, known.path FROM t JOIN known ON abs(length(nt) - length(nn)) <= 2 AND levenshtein(nt, nn) <= 2 WHERE nt <> '') GROUP BY target),
 cls AS (SELECT b.source, b.target, CASE WHEN contains(b.target, chr(10)) OR suggest IS NOT NULL THEN 'defect'
@@ -158,8 +162,8 @@ def gr_broken_classify(spark: SparkSession, d: str) -> DataFrame:
   (SELECT count(*) FROM cls WHERE class = 'defect') AS defects, (SELECT count(*) FROM cls WHERE class = 'stale') AS stale,
   (SELECT count(*) FROM pages WHERE {content('path')} AND NOT regexp_matches(path, '^(wiki/syntheses|moc)/') AND path NOT IN (SELECT path FROM inbound)) AS orphans,
   (SELECT count(*) FROM pages WHERE {content('path')} AND path NOT IN (SELECT source FROM resolved WHERE channel = 'nav' AND landed IS NOT NULL)) AS dead_ends,
-  (SELECT count(*) FROM pages WHERE starts_with(path, 'wiki/sources/') AND path NOT IN (SELECT path FROM raw_citing)) AS provenance_gaps,
-  (SELECT count(*) FROM need WHERE path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/'))) AS unreachable)
+  (SELECT count(*) FROM pages WHERE starts_with(path, 'wiki/sources/') AND NOT declares AND path NOT IN (SELECT path FROM raw_citing)) AS provenance_gaps,
+  (SELECT count(*) FROM need WHERE NOT declares AND path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/'))) AS unreachable)
 SELECT *, CAST(greatest(0, 100 - least(30, 3 * defects) - least(15, 2 * stale) - least(25, 2 * orphans) - least(20, 2 * dead_ends) - least(20, 4 * provenance_gaps) - least(20, 3 * unreachable)) AS BIGINT) AS score FROM n"""
 )
 def gr_health_score(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +182,55 @@ def gr_health_score(spark: SparkSession, d: str) -> DataFrame:
     return G.health(counts)
 
 
+_MEASURES = {
+    "orphans": f"SELECT path FROM pages WHERE {content('path')} AND NOT regexp_matches(path, '^(wiki/syntheses|moc)/') AND path NOT IN (SELECT path FROM inbound)",
+    "dead_ends": f"SELECT path FROM pages WHERE {content('path')} AND path NOT IN (SELECT source FROM resolved WHERE channel = 'nav' AND landed IS NOT NULL)",
+    "broken": "SELECT source FROM broken",
+    "defects": "SELECT source FROM cls WHERE class = 'defect'",
+    "stale": "SELECT source FROM cls WHERE class = 'stale'",
+    "deferred": "SELECT source FROM cls WHERE class = 'deferred'",
+    "hub_stubs": f"SELECT p.path FROM pages p JOIN inbound i USING (path) WHERE {content('p.path')} AND (coalesce(status = 'stub', false) OR coalesce(words, 0) < 10) AND inbound >= 5",
+    "unparsed": "SELECT path FROM pages WHERE starts_with(path, 'raw/') AND path NOT IN (SELECT path FROM inbound)",
+    "missing_hash": "SELECT path FROM pages WHERE starts_with(path, 'raw/') AND ends_with(path, '.md') AND source_hash IS NULL",
+    "backfill_pending": "SELECT path FROM pages WHERE starts_with(path, 'wiki/sources/') AND coalesce(len(source_hashes), 0) = 0 AND path IN (SELECT path FROM raw_citing)",
+    "provenance_gaps": "SELECT path FROM pages WHERE starts_with(path, 'wiki/sources/') AND NOT declares AND path NOT IN (SELECT path FROM raw_citing)",
+    "unreachable": "SELECT path FROM need WHERE NOT declares AND path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/'))",
+    "declared_gaps": "SELECT path FROM declared",
+    "declared_stubs": f"SELECT path FROM pages WHERE {content('path')} AND status = 'stub'",
+}
+_DECLARED = f"""declared AS (SELECT path FROM pages WHERE declares AND {content('path')} AND CASE WHEN starts_with(path, 'wiki/sources/') THEN path NOT IN (SELECT path FROM raw_citing)
+  ELSE path NOT IN (SELECT path FROM walk WHERE starts_with(evidence, 'raw/')) END)"""
+
+
+@query(f"WITH {VAULT}, {_WALK}, {_DECLARED} SELECT path FROM declared")
+def gr_declared_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return G.declared_gaps(*vault(spark, d))
+
+
+@query(f"WITH {VAULT} {_MEASURES['declared_stubs']}")
+def gr_declared_stubs(spark: SparkSession, d: str) -> DataFrame:
+    return G.declared_stubs(V.pages(spark, d))
+
+
+@query(f"WITH {VAULT}, {_WALK}, {_DECLARED}, {_CLASSIFY} " + " UNION ALL ".join(f"SELECT '{m}' AS measure, count(*) AS n FROM ({sql})" for m, sql in _MEASURES.items()))
+def gr_health_measures(spark: SparkSession, d: str) -> DataFrame:
+    """All measures of the link graph, scored or not, a row each."""
+    pages = stored(V.pages(spark, d), "pages")
+    resolved = stored(G.resolve(V.links(spark, d), pages), "links")
+    bad = stored(G.classify_broken(G.broken(resolved), pages, TODAY), "broken")
+    found = {
+        "orphans": G.orphans(pages, resolved), "dead_ends": G.dead_ends(pages, resolved), "broken": bad, "defects": bad.filter("class = 'defect'"), "stale": bad.filter("class = 'stale'"),
+        "deferred": bad.filter("class = 'deferred'"), "hub_stubs": G.hub_stubs(pages, resolved), "unparsed": G.unparsed(pages, resolved), "missing_hash": G.missing_hash(pages),
+        "backfill_pending": G.backfill_pending(pages, resolved), "provenance_gaps": G.provenance_gaps(pages, resolved), "unreachable": G.unreachable(pages, resolved),
+        "declared_gaps": G.declared_gaps(pages, resolved), "declared_stubs": G.declared_stubs(pages),
+    }
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(m).alias("measure"), "n") for m, df in found.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 # A larger graph: orders lead to parts (nav), parts to their suppliers (prov); suppliers are raw, parts are source pages.
 
 
@@ -221,9 +274,12 @@ def gr_supply_referrers(spark: SparkSession, d: str) -> DataFrame:
 h2 AS (SELECT DISTINCT path, landed AS node FROM h1 JOIN sl ON source = node) SELECT path, count(DISTINCT node) AS n FROM (SELECT * FROM h1 UNION SELECT * FROM h2) GROUP BY path"""
 )
 def gr_supply_evidence(spark: SparkSession, d: str) -> DataFrame:
-    links = supply_links(spark, d)
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    # edges are made distinct as numbers, before their paths are spelt out
+    nav = li.select("l_orderkey", "l_partkey").distinct().select(_order(F.col("l_orderkey")).alias("source"), _part(F.col("l_partkey")).alias("target"))
+    prov = li.select("l_partkey", "l_suppkey").distinct().select(_part(F.col("l_partkey")).alias("source"), _supplier(F.col("l_suppkey")).alias("target"))
     starts = table(spark, d, "lineitem", "l_orderkey").distinct().select(_order(F.col("l_orderkey")).alias("path"))
-    walk = G.evidence_walk(links.select("source", F.col("resolved").alias("target")), starts, V.is_evidence)
+    walk = G.evidence_walk(nav.unionByName(prov), starts, V.is_evidence, edges_distinct=True)
     return walk.groupBy("path").agg(F.count("*").alias("n"))
 
 

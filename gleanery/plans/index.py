@@ -88,17 +88,19 @@ def vx_index_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CUT = "2025-06-01"
+_LATE = "2026-01-30"
 _DIFF = f"""ch AS (SELECT DISTINCT chunk_id, path, hash, indexed_at FROM chunks),
 o AS (SELECT path, max(indexed_at) AS at, count(*) AS n FROM ch WHERE indexed_at < TIMESTAMP '{_CUT}' GROUP BY path),
-nw AS (SELECT path, max(indexed_at) AS at, count(*) AS n FROM ch WHERE chunk_id % 7 <> 0 GROUP BY path),
+nw AS (SELECT path, max(indexed_at) AS at, count(*) AS n FROM ch WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE loaded_at >= TIMESTAMP '{_LATE}') GROUP BY path),
 df AS (SELECT path, CASE WHEN o.at IS NULL THEN 'added' WHEN nw.at IS NULL THEN 'removed' WHEN o.at = nw.at AND o.n = nw.n THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN nw USING (path))"""
 
 
 def _diff(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest at an earlier time against one from which every seventh chunk has gone."""
+    """The manifest at an earlier time against one without the chunks that were loaded late."""
     ch = chunks(spark, d)
+    late = table(spark, d, "chunks", "chunk_id", "loaded_at").filter(F.col("loaded_at") >= F.lit(_LATE).cast("timestamp_ntz")).select("chunk_id").distinct()
     state = lambda df: df.groupBy("path").agg(F.max("indexed_at").alias("at"), F.count("*").alias("n"))
-    return X.manifest_diff(state(ch.filter(F.col("indexed_at") < F.lit(_CUT).cast("timestamp_ntz"))), state(ch.filter("chunk_id % 7 <> 0")), "path", ["at", "n"])
+    return X.manifest_diff(state(ch.filter(F.col("indexed_at") < F.lit(_CUT).cast("timestamp_ntz"))), state(ch.join(late, "chunk_id", "left_anti")), "path", ["at", "n"])
 
 
 @query(f"WITH {_DIFF} SELECT path, change FROM df")
@@ -165,6 +167,5 @@ def vx_rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def vx_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Pages by the words of their chunks and by the mean of their vectors, fused."""
     rows, q = _placed(spark, d)
-    text = table(spark, d, "chunks", "chunk_id", "path", "text", "loaded_at")
-    pages = latest(text, "chunk_id").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return S.search(pages, rows.withColumn("position", F.col("start_line")), QUESTION, q, "path", "text")
+    pages = latest(table(spark, d, "chunks", "chunk_id", "path", "text", "loaded_at"), "chunk_id").select("path", "text")
+    return S.search(pages, rows.withColumn("position", F.col("start_line")), QUESTION, q, "path", "text", parted=True)

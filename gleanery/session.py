@@ -23,10 +23,18 @@ def session(app: str = "gleanery", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether executors run in the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what ``spark.checkpoint.dir`` names, or, only where that is unset, a temporary one."""
+    """The folder all executors share: what ``spark.checkpoint.dir`` names. Only where that is unset and all executors are in this
+    process (a local master) is it a temporary one; on a cluster without the setting this fails."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.sparkContext.setCheckpointDir(path)
     return path

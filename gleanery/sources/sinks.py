@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +12,38 @@ from pyspark.sql import functions as F
 ISSUE_KINDS = ["failed", "thin", "wrong-node", "blocked", "fidelity", "attention"]
 
 
+def _files(spark: SparkSession, root: str):
+    """The file system of a folder, by its own scheme, and the class of its paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.FileContext.getFileContext(hadoop.Path(root).toUri(), spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
 def publish(df: DataFrame, root: str, name: str) -> str:
-    """Writes ``df`` as a new version and then switches the pointer file to it; readers see the old or the new one, never half."""
-    version = f"{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` as a new version and then switches the pointer file to it; readers see the old or the new one, never half.
+    The folder may be on any file system that Spark writes to; the switch is its rename."""
+    spark, version = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    base = Path(root.removeprefix("file://"))
-    base.mkdir(parents=True, exist_ok=True)
-    temporary = base / f".{name}.{uuid.uuid4().hex}"
-    temporary.write_text(json.dumps({"version": version}))
-    os.replace(temporary, base / f"{name}.json")
+    files, path = _files(spark, root)
+    base = files.makeQualified(path(root))
+    temporary, pointer = path(base, f".{name}.{uuid.uuid4().hex}"), path(base, f"{name}.json")
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(base.toUri(), spark._jsc.hadoopConfiguration())
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(temporary, pointer, options)
     return version
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """The current version, or None if there is none."""
-    pointer = Path(root.removeprefix("file://")) / f"{name}.json"
-    return spark.read.parquet(f"{root}/{json.loads(pointer.read_text())['version']}") if pointer.exists() else None
+    files, path = _files(spark, root)
+    pointer = path(files.makeQualified(path(root)), f"{name}.json")
+    if not files.util().exists(pointer):
+        return None
+    said = "".join(r[0] for r in spark.read.text(pointer.toString()).collect())  # one line
+    return spark.read.parquet(f"{root}/{json.loads(said)['version']}")
 
 
 def append_events(df: DataFrame, path: str, kinds: list[str] | None = None) -> None:

@@ -80,8 +80,10 @@ def test_lint(spark):
 
 def test_catalogs(spark):
     pages = spark.createDataFrame([("wiki/b.md", "b", "concept", None, 50), ("wiki/a.md", "a", "concept", "stub", 50), ("wiki/c.md", "c", "odd", None, 5), ("raw/x.md", "x", "clip", None, 9)], "path string, name string, type string, status string, words int")
-    got = {r["section"]: (r["place"], r["n"], r["entries"]) for r in catalog.catalog(pages).collect()}
-    assert got == {"concept": (4, 2, "- [[a]] (stub)\n- [[b]]"), "other": (7, 1, "- [[c]] (stub)")}
+    got = [tuple(r) for r in catalog.catalog(pages).orderBy("place", "path").collect()]
+    assert got == [("concept", 4, "wiki/a.md", "- [[a]] (stub)"), ("concept", 4, "wiki/b.md", "- [[b]]"), ("other", 7, "wiki/c.md", "- [[c]]")]
+    kinds = pages.withColumn("kind", F.when(F.col("name") == "b", "backlog-item"))
+    assert {r["path"] for r in catalog.catalog(kinds).collect()} == {"wiki/a.md", "wiki/c.md"}
     days = spark.createDataFrame([("f", "2026-07-01", None), ("a", None, "2026-05-01"), ("s", "2026-03-01", "2025-01-01"), ("r", "2025-01-01", None), ("n", None, None)], "p string, r string, u string")
     assert {r["p"]: r["bucket"] for r in catalog.freshness(days, "p", "r", "u", "2026-07-15").collect()} == {"f": "fresh", "a": "aging", "s": "stale", "r": "rotten", "n": "rotten"}
 

@@ -45,3 +45,17 @@ def test_query(spark, small, duck, name):
 def test_contract(spark, small):
     assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+def test_a_broken_subpackage_leaves_the_core(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "gleanery.llm", None)
+    monkeypatch.delitem(sys.modules, "gleanery.llm.queries", raising=False)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from gleanery.session import is_local
+
+    assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[3,2,3000]") and not is_local("spark://host:7077") and not is_local("yarn")

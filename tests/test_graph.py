@@ -26,8 +26,10 @@ VAULT = {
     "wiki/entities/orphan-entity.md": page("type: entity", "few words"),
     "wiki/sources/source-a-summary.md": page('type: source\nsource-hashes: [aaaaaa11]\nsources: ["[[raw/sources/source-a.md]]"]', LONG + "[[alpha]]"),
     "wiki/sources/no-provenance.md": page("type: source", LONG + "[[alpha]]"),
+    "wiki/sources/declared.md": page("type: source\nsources: []", LONG + "[[alpha]]"),
+    "wiki/concepts/said.md": page("type: concept\nstatus: draft\nsources: []", LONG + "[[alpha]]"),
     "wiki/syntheses/hub-stub.md": page('type: synthesis\nstatus: stub\nsources: ["[[gone-source]]"]', "short"),
-    "wiki/syntheses/root.md": page('type: synthesis\nsources: ["[[source-a]]"]', LONG + "[[alpha]] [[gamma]] [[source-a-summary]] [[no-provenance]]"),
+    "wiki/syntheses/root.md": page('type: synthesis\nsources: ["[[source-a]]"]', LONG + "[[alpha]] [[gamma]] [[source-a-summary]] [[no-provenance]] [[declared]] [[said]]"),
     "raw/sources/source-a.md": page("source-hash: AAAAAA11", LONG),
     "raw/sources/source-b.md": page("source-hash: bbbbbb11", LONG),
     "raw/sources/paper.pdf": "%PDF",
@@ -67,6 +69,8 @@ def test_metrics(vault):
     assert {tuple(r) for r in G.hub_stubs(pages, resolved).collect()} == {("wiki/syntheses/hub-stub.md", 5)}
     assert paths(G.unreachable(pages, resolved)) == {"wiki/entities/orphan-entity.md", "wiki/syntheses/hub-stub.md"}
     assert paths(G.provenance_gaps(pages, resolved)) == {"wiki/sources/no-provenance.md"}
+    assert paths(G.declared_gaps(pages, resolved)) == {"wiki/sources/declared.md", "wiki/concepts/said.md"}
+    assert paths(G.declared_stubs(pages)) == {"wiki/syntheses/hub-stub.md"}
     assert paths(G.backlog(pages, resolved)) == {"raw/sources/source-b.md", "raw/clippings/unparsed.md"}
     assert paths(G.unparsed(pages, resolved)) == {"raw/clippings/unparsed.md"}
     assert paths(G.missing_hash(pages)) == {"raw/clippings/unparsed.md"}
@@ -105,6 +109,9 @@ def test_broken_links_are_classified(vault):
     bad = pages.sparkSession.createDataFrame([("wiki/concepts/gamma.md", "alpa"), ("wiki/concepts/gamma.md", "two\nlines"), ("wiki/concepts/gamma.md", "unknown thing")], "source string, target string")
     late = {r["target"]: (r["class"], r["suggest"]) for r in G.classify_broken(bad, pages, "2027-07-01").collect()}
     assert late == {"alpa": ("defect", "alpha"), "two\nlines": ("defect", None), "unknown thing": ("stale", None)}
+    spark = pages.sparkSession
+    wrapped = spark.createDataFrame([("wiki/concepts/gamma.md", "hub-\nstub"), ("wiki/concepts/gamma.md", "alp\nhx")], "source string, target string")
+    assert {r["target"]: r["suggest"] for r in G.classify_broken(wrapped, pages, "2027-07-01").collect()} == {"hub-\nstub": "hub-stub", "alp\nhx": None}
     assert {r["class"] for r in G.classify_broken(bad.filter("target = 'unknown thing'"), pages, "2026-07-02").collect()} == {"deferred"}
 
 
@@ -123,6 +130,35 @@ def test_closure_takes_what_only_the_set_refers_to(spark):
     assert {x["path"]: x["n"] for x in C.collateral(r, taken).collect()} == {"wiki/o.md": 1, "moc/m.md": 1}
 
 
+def test_closure_has_no_limit_of_rounds(spark):
+    chain = spark.createDataFrame([(f"p{i + 1}", f"p{i}") for i in range(102)], "path string, referrer string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        taken = C.closure(chain, spark.createDataFrame([("p0",)], "path string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["path"]: r["round"] for r in taken.collect()} == {f"p{i}": i for i in range(103)}
+
+
+def test_monoliths_are_authored_long_and_updated(spark):
+    rows = [("wiki/authored/a.md", 3001, 3), ("wiki/authored/b.md", 3000, 9), ("wiki/authored/c.md", 9000, 2), ("wiki/syntheses/d.md", 9000, 9)]
+    assert paths(G.monoliths(spark.createDataFrame(rows, "path string, words int, callouts int"))) == {"wiki/authored/a.md"}
+
+
+def test_links_of_large_chunk_ids_keep_their_order(spark, tmp_path):
+    import datetime as dt
+
+    from gleanery.operators import vault as V
+
+    spark.createDataFrame([(1, "wiki/a.md", [], dt.datetime(2025, 1, 1))], "page_id long, path string, sources array<string>, loaded_at timestamp").write.parquet(f"{tmp_path}/wiki_pages.parquet")
+    many = " ".join(f"[[t{i}]]" for i in range(1100))
+    rows = [(3 * 10**9, "wiki/a.md", many, dt.datetime(2025, 1, 1)), (3 * 10**9 + 1, "wiki/a.md", "[[last]]", dt.datetime(2025, 1, 1))]
+    spark.createDataFrame(rows, "chunk_id long, path string, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = [r["target"] for r in V.links(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [f"t{i}" for i in range(1100)] + ["last"]
+
+
 def test_blocking(spark):
     resolved = spark.createDataFrame([("wiki/a.md", "prov", "raw/x.md"), ("wiki/b.md", "prov", "raw/x.md"), ("wiki/b.md", "prov", "raw/y.md"), ("wiki/c.md", "nav", "raw/x.md")], "source string, channel string, resolved string")
     assert paths(C.blocking(resolved, spark.createDataFrame([("raw/x.md",)], "path string"))) == {"wiki/a.md"}
