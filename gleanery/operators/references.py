@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.session import stored
+
 #: A key is hot if more than one reference in this many uses it: fewer keys than this can be hot.
 HOT_PARTS = 1000
 
@@ -45,14 +47,16 @@ def reference_entries(pages: DataFrame) -> DataFrame:
     """Every entry of ``sources`` and ``source_hashes`` that is neither null nor blank:
     ``(page_id, field, pos, updated_at, kind, key)``. Null and empty arrays give no rows; repeated page rows give one."""
 
-    def side(field: str, kind: str, key: Column) -> DataFrame:
-        return (
-            pages.select("page_id", "updated_at", F.posexplode(F.col(field)).alias("p", "entry"))
-            .filter(F.col("entry").isNotNull() & (_blank(F.col("entry")) != ""))
-            .select("page_id", F.lit(field).alias("field"), (F.col("p") + 1).cast("int").alias("pos"), "updated_at", F.lit(kind).alias("kind"), key.alias("key"))
-        )
+    def side(field: str) -> Column:
+        entries = F.coalesce(F.col(field), F.array().cast("array<string>"))
+        return F.transform(entries, lambda x, i: F.struct(F.lit(field).alias("field"), (i + 1).cast("int").alias("pos"), x.alias("entry")))
 
-    return side("sources", "name", wikilink_name(F.col("entry"))).unionByName(side("source_hashes", "hash", hash_key(F.col("entry"))))
+    # both fields in one pass over the pages
+    rows = pages.select("page_id", "updated_at", F.explode(F.concat(side("sources"), side("source_hashes"))).alias("e")).select("page_id", "updated_at", "e.*")
+    rows = rows.filter(F.col("entry").isNotNull() & (_blank(F.col("entry")) != ""))
+    named = F.col("field") == "sources"
+    key = F.when(named, wikilink_name(F.col("entry"))).otherwise(hash_key(F.col("entry")))
+    return rows.select("page_id", "field", "pos", "updated_at", F.when(named, "name").otherwise("hash").alias("kind"), key.alias("key"))
 
 
 def usable_clips(clippings: DataFrame, pdf_clips: DataFrame, purges: DataFrame) -> DataFrame:
@@ -74,10 +78,12 @@ def orphans(entries: DataFrame, parents: DataFrame) -> DataFrame:
     long = entries.select("kind", "key", F.lit(0).alias("is_parent"), F.lit(None).cast("timestamp_ntz" if dict(parents.dtypes)["at"] == "timestamp_ntz" else "timestamp").alias("at")).unionByName(
         parents.select("kind", "key", F.lit(1).alias("is_parent"), "at")
     )
-    keys = (
+    # read for the total, the hot keys and the join: kept in the shared folder, a row per key
+    keys = stored(
         long.groupBy("kind", "key")
         .agg(F.max("is_parent").alias("has_parent"), F.min("at").alias("first_parent_at"), F.sum(1 - F.col("is_parent")).alias("n_refs"))
-        .filter("n_refs > 0")
+        .filter("n_refs > 0"),
+        "keys",
     )
     total = keys.agg(F.sum("n_refs").alias("n"))
     hot = keys.join(F.broadcast(total), F.col("n_refs") * HOT_PARTS > F.col("n")).select("kind", "key", "first_parent_at")
