@@ -130,7 +130,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: All windows of 200 characters, those in more than one document, and the pairs of documents that hold them.
+_WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, substring(text, CAST(i AS INTEGER) + 1, 200) AS w FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+r AS (SELECT w FROM w GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT w.doc_id, w.i, w.w FROM w JOIN r ON w.w = r.w)"""
+_PAIRS = "holds AS (SELECT DISTINCT doc_id, w FROM hit), pairs AS (SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM holds a JOIN holds b ON a.w = b.w WHERE a.doc_id < b.doc_id)"
+_SPANS = """step AS (SELECT DISTINCT doc_id, i FROM hit),
+mark AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM step),
+isle AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark),
+spans AS (SELECT doc_id, min(i) AS start_char, max(i) + 200 AS end_char FROM isle GROUP BY doc_id, g)"""
+
 SQL: dict[str, str] = {
+    "p9_found": f"WITH {_WINDOWS}, {_PAIRS} SELECT doc_id_a, doc_id_b FROM pairs",
+    "p9_spans": f"WITH {_WINDOWS}, {_SPANS} SELECT doc_id, start_char, end_char FROM spans",
+    "p9_shared": f"""WITH {_WINDOWS}, {_SPANS}, n AS (SELECT doc_id, CAST(max(coalesce(length(text), 0)) AS INTEGER) AS n_chars FROM documents GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(end_char - start_char) AS BIGINT) AS shared_chars FROM spans GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0.0 END AS shared_part FROM n LEFT JOIN t USING (doc_id)""",
+    "p9_links": f"""WITH {_WINDOWS}, {_PAIRS}, texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM texts),
+both_ AS (SELECT doc_id_a AS doc_id FROM pairs UNION ALL SELECT doc_id_b FROM pairs), n AS (SELECT doc_id, count(*) AS n FROM both_ GROUP BY doc_id)
+SELECT c.doc_id, class_id, coalesce(n, 0) AS n_links FROM c LEFT JOIN n USING (doc_id)""",
     "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
     "p5_found": """
 WITH v AS (
