@@ -74,7 +74,7 @@ def ev_unsettled_flags(spark: SparkSession, d: str) -> DataFrame:
     return E.without_settled(rows.select(*KEYS).distinct(), E.open_issues(rows, KEYS, "ts", [], []), E.settled(rows, KEYS), KEYS)
 
 
-@query()
+@query(f"WITH {_LOG} SELECT user_id, kind, arg_min(ts, seq) AS first_seen, arg_max(ts, seq) AS last_seen, count(*) AS occurrences FROM since GROUP BY ALL")
 def st_open_issues_stream(spark: SparkSession, d: str) -> DataFrame:
     """The open issues kept by the stream, after all events were read."""
     import uuid
