@@ -136,16 +136,17 @@ def evidence_walk(edges: DataFrame, starts: DataFrame, evidence, depth: int = 3,
     """``path, evidence``: evidence reached within ``depth`` hops of ``starts (path)``; the first hop must be evidence.
 
     edges: ``source, target``. evidence: a function from the column of a path to whether it is evidence. Unrolled into ``depth``
-    joins; the frontier is reduced to distinct pairs after each hop, so it never holds more than one row per pair.
+    joins; the frontier is reduced to distinct pairs that go on before a hop, so it never holds more than one row per pair.
     edges_distinct: whether the caller has made them so."""
     e = edges.filter("source is not null and target is not null").select("source", "target")
     e = e if edges_distinct else e.distinct()
+    sources = e.select(F.col("source").alias("at")).distinct()
     step = starts.join(e, F.col("path") == F.col("source")).select("path", F.col("target").alias("at")).filter(evidence(F.col("at")))
     seen = step
     for hop in range(2, depth + 1):
+        if hop > 2:  # on from what has edges only; all that was seen is reduced once, at the end
+            step = step.join(sources, "at", "left_semi").select("path", "at").distinct()
         step = step.join(e, F.col("at") == F.col("source")).select("path", F.col("target").alias("at"))
-        if hop < depth:  # what is reached last is reduced with all the rest
-            step = step.distinct()
         seen = seen.unionByName(step)
     return seen.filter(evidence(F.col("at")) & (F.col("at") != F.col("path"))).distinct().select("path", F.col("at").alias("evidence"))
 

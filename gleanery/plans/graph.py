@@ -275,12 +275,12 @@ h2 AS (SELECT DISTINCT path, landed AS node FROM h1 JOIN sl ON source = node) SE
 )
 def gr_supply_evidence(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
-    # edges are made distinct as numbers, before their paths are spelt out
-    nav = li.select("l_orderkey", "l_partkey").distinct().select(_order(F.col("l_orderkey")).alias("source"), _part(F.col("l_partkey")).alias("target"))
-    prov = li.select("l_partkey", "l_suppkey").distinct().select(_part(F.col("l_partkey")).alias("source"), _supplier(F.col("l_suppkey")).alias("target"))
-    starts = table(spark, d, "lineitem", "l_orderkey").distinct().select(_order(F.col("l_orderkey")).alias("path"))
-    walk = G.evidence_walk(nav.unionByName(prov), starts, V.is_evidence, edges_distinct=True)
-    return walk.groupBy("path").agg(F.count("*").alias("n"))
+    # walked over as numbers (orders, parts and suppliers by their rest modulo 3); only the result's paths are spelt out
+    order, part, supplier = (F.col(c) * 3 + i for i, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey")))
+    nav = li.select(order.alias("source"), part.alias("target")).distinct()
+    prov = li.select(part.alias("source"), supplier.alias("target")).distinct()
+    walk = G.evidence_walk(nav.unionByName(prov), li.select(order.alias("path")).distinct(), lambda node: F.pmod(node, F.lit(3)) > 0, edges_distinct=True)
+    return walk.groupBy("path").agg(F.count("*").alias("n")).select(_order((F.col("path") / 3).cast("bigint")).alias("path"), "n")
 
 
 @query(f"WITH {VAULT} SELECT target, count(*) AS refs FROM broken GROUP BY target HAVING count(*) >= 2")
