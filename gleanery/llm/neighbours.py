@@ -9,7 +9,7 @@ Vectors cross the shuffle as 16-bit fixed point numbers with exact norms kept in
 below 1e-4, a quarter of the bytes of doubles. Sums are made in 32-bit floats.
 
 Rows that take no part: null vectors, vectors of another length, vectors that are all zero or hold a value that isn't
-finite. Repeated rows of a slot count once. Equal similarities are ranked by slot. One vector alone has no neighbours.
+finite. Repeated rows of a slot count once; of different vectors under one slot the neighbours are merged. Equal similarities are ranked by slot. One vector alone has no neighbours.
 A run of one partition sees only its own rows: neighbours across a border are left to the other curves, whose borders lie
 elsewhere.
 
@@ -48,7 +48,7 @@ _SCALE = 32767.0
 _BELOW = np.float32(1 - 2**-24)
 #: So many vectors with copies are broadcast at most, with K + 1 slots each.
 _FEW = 10_000
-_FOUND = "id bigint, other bigint, first bigint, cosine float"
+_FOUND = "id bigint, other bigint, cosine float"
 
 
 def rotations(axes: np.ndarray, curves: int = CURVES, projected: int = PROJECTED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +191,10 @@ def _coded(whole: DataFrame, dimension: int) -> DataFrame:
 
 
 def _distinct(coded: DataFrame, k: int) -> DataFrame:
-    """``(id, slot, slots, code)``: every vector once, with the ``k + 1`` least of its slots, of which ``slot`` is the first."""
+    """``(id, slots, code)``: every vector once, with the ``k + 1`` least of its slots, of which the first is its id."""
     place = F.dense_rank().over(Window.partitionBy("code").orderBy("slot"))
     once = coded.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
-    return stored(once.select(F.monotonically_increasing_id().alias("id"), F.get("slots", F.lit(0)).alias("slot"), "slots", "code"), "vectors")
+    return stored(once.select(F.get("slots", F.lit(0)).alias("id"), "slots", "code"), "vectors")
 
 
 def _decoded(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _decoded(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
 
 
 def _keyed(once: DataFrame, whole: DataFrame, dimension: int, curves: int, window: int) -> tuple[DataFrame, bool]:
-    """A row ``(curve, key, rows, id, slot, code)`` per curve and vector, and whether any cell is overfull. ``rows`` is the
+    """A row ``(curve, key, rows, id, code)`` per curve and vector, and whether any cell is overfull. ``rows`` is the
     number of vectors of an overfull cell, 0 of any other. The driver holds the overfull cells, of which there is at most one
     per ``window`` rows."""
     axes, center, spread = main_axes(whole, dimension)
@@ -225,7 +225,7 @@ def _keyed(once: DataFrame, whole: DataFrame, dimension: int, curves: int, windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _decoded(batch.column(2), dimension)
+            unit = _decoded(batch.column(1), dimension)
             for c in range(curves):
                 key = curve_keys(unit, turns[c], shifts[c], center, spread)
                 rows = np.zeros(len(key), np.int64)
@@ -234,9 +234,9 @@ def _keyed(once: DataFrame, whole: DataFrame, dimension: int, curves: int, windo
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     rows = np.where(known[at] == key, sizes[at], 0)
                 columns = [pa.array(np.full(len(key), c, np.int32)), pa.array(key), pa.array(rows), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=["curve", "key", "rows", "id", "slot", "code"])
+                yield pa.RecordBatch.from_arrays(columns, names=["curve", "key", "rows", "id", "code"])
 
-    return once.select("id", "slot", "code").mapInArrow(run, "curve int, key bigint, rows bigint, id bigint, slot bigint, code binary"), bool(overfull)
+    return once.select("id", "code").mapInArrow(run, "curve int, key bigint, rows bigint, id bigint, code binary"), bool(overfull)
 
 
 def _scan(dimension: int, k: int, least: float | None, window: int, block: int):
@@ -244,30 +244,30 @@ def _scan(dimension: int, k: int, least: float | None, window: int, block: int):
     held = 16 * block + 2 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, names, unit, begun = -1, np.empty((2, 0), np.int64), np.empty((0, dimension), np.float32), 0
+        curve, ids, unit, begun = -1, np.empty(0, np.int64), np.empty((0, dimension), np.float32), 0
 
         def found(last: int) -> Iterator[pa.RecordBatch]:
-            for i, j, s in block_pairs(unit, names[1], k, least, window, block, begun, last):
-                yield pa.RecordBatch.from_arrays([pa.array(names[0, i]), pa.array(names[0, j]), pa.array(names[1, j]), pa.array(s)], names=["id", "other", "first", "cosine"])
+            for i, j, s in block_pairs(unit, ids, k, least, window, block, begun, last):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s)], names=["id", "other", "cosine"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cs, new = batch.column(0).to_numpy(), np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()])
-            units = _decoded(batch.column(5), dimension)
+            cs, new = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            units = _decoded(batch.column(4), dimension)
             for c in np.unique(cs):
                 part = np.flatnonzero(cs == c)
                 if c != curve:
                     yield from found(len(unit))
-                    curve, names, unit, begun = c, np.empty((2, 0), np.int64), np.empty((0, dimension), np.float32), 0
+                    curve, ids, unit, begun = c, np.empty(0, np.int64), np.empty((0, dimension), np.float32), 0
                 for a in range(0, len(part), 8 * block):
                     rows = part[a : a + 8 * block]
-                    names, unit = np.concatenate([names, new[:, rows]], axis=1), np.concatenate([unit, units[rows]])
+                    ids, unit = np.concatenate([ids, new[rows]]), np.concatenate([unit, units[rows]])
                     if len(unit) > held:
                         last = len(unit) - window
                         yield from found(last)
                         cut = max(0, last - window)
-                        names, unit, begun = names[:, cut:], unit[cut:], last - cut
+                        ids, unit, begun = ids[cut:], unit[cut:], last - cut
         yield from found(len(unit))
 
     return run
@@ -277,37 +277,37 @@ def _within_cells(keyed: DataFrame, dimension: int, k: int, least: float | None,
     """What the vectors of overfull cells find in the whole of their cell. A cell is dealt to parts; every two parts are one group."""
 
     def run(table: pa.Table) -> pa.Table:
-        unit, ids, slots, parts = _decoded(table["code"], dimension), table["id"].to_numpy(), table["slot"].to_numpy(), table["part"].to_numpy()
+        unit, ids, parts = _decoded(table["code"], dimension), table["id"].to_numpy(), table["part"].to_numpy()
         a, b = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts != parts.min())
         one = table["i"][0].as_py() == table["j"][0].as_py()
         out = []
         if one:
-            out = [(ids[i], j, s) for i, j, s in block_pairs(unit, slots, k, least, len(unit), block)]
+            out = [(ids[i], j, s) for i, j, s in block_pairs(unit, ids, k, least, len(unit), block)]
         elif len(b):
             for x, y in ((a, b), (b, a)):
-                out += [(ids[x[i]], y[j], s) for i, j, s in cross_pairs(unit[x], unit[y], slots[y], k, least, block)]
+                out += [(ids[x[i]], y[j], s) for i, j, s in cross_pairs(unit[x], unit[y], ids[y], k, least, block)]
         i, j, s = (np.concatenate([np.empty(0, t), *(o[n] for o in out)]) for n, t in enumerate((np.int64, np.int64, np.float32)))
-        return pa.table([i, ids[j], slots[j], s], names=["id", "other", "first", "cosine"])
+        return pa.table([i, ids[j], s], names=["id", "other", "cosine"])
 
     parts = F.ceil(F.col("rows") / part)
     dealt = keyed.filter("rows > 0").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    paired = dealt.select("curve", "key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id", "slot", "code")
+    paired = dealt.select("curve", "key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id", "code")
     return paired.groupBy("curve", "key", "i", "j").applyInArrow(run, _FOUND)
 
 
 def _with_copies(best: DataFrame, once: DataFrame, coded: DataFrame, k: int) -> DataFrame:
-    """``(slot, other, cosine)`` from the best ``(id, other, first, cosine)`` of distinct vectors, among them itself where it
+    """``(slot, other, cosine)`` from the best ``(id, other, cosine)`` of distinct vectors, among them itself where it
     has copies: every slot gets the neighbours of its vector, and of each the slots."""
     many = once.filter(F.size("slots") > 1)
     several = many.select(F.col("id").alias("other"), "slots")
     if many.count() <= _FEW:
         several = F.broadcast(several)
-    slots = F.coalesce("slots", F.array("first"))
+    slots = F.coalesce("slots", F.array("other"))
     near = best.join(several, "other", "left").select("id", "cosine", F.explode(slots).alias("other"))
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k + 1)
     mark = [F.xxhash64("code").alias("h1"), F.xxhash64(F.lit(1), "code").alias("h2")]  # 128 bits stand for a code
-    copies = coded.select("slot", *mark).join(many.select("id", F.col("slot").alias("least"), *mark), ["h1", "h2"]).filter("slot <> least").select("id", "slot")
-    return near.join(once.select("id", "slot").unionByName(copies), "id").filter("slot <> other").select("slot", "other", "cosine")
+    copies = coded.select("slot", *mark).join(many.select("id", *mark), ["h1", "h2"]).filter("slot <> id").select("id", "slot")
+    return near.join(once.select("id", F.col("id").alias("slot")).unionByName(copies), "id").filter("slot <> other").select("slot", "other", "cosine")
 
 
 def nearest(df: DataFrame, slot: str = "slot", vector: str = "embedding", k: int = K, least: float | None = None, dimension: int = DIMENSION, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
@@ -324,9 +324,9 @@ def nearest(df: DataFrame, slot: str = "slot", vector: str = "embedding", k: int
     found = runs.mapInArrow(_scan(dimension, k, least, window, BLOCK), _FOUND)
     if overfull:
         found = found.unionByName(_within_cells(keyed, dimension, k, least, PART, BLOCK))
-    itself = once.filter(F.size("slots") > 1).select("id", F.col("id").alias("other"), F.col("slot").alias("first"), F.lit(1.0).cast("float").alias("cosine"))
-    best = found.unionByName(itself).groupBy("id", "other", "first").agg(F.max("cosine").alias("cosine"))
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "first"))).filter(F.col("n") <= k + 1).drop("n")
+    itself = once.filter(F.size("slots") > 1).select("id", F.col("id").alias("other"), F.lit(1.0).cast("float").alias("cosine"))
+    best = found.unionByName(itself).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k + 1).drop("n")
     out = _with_copies(best, once, coded, k).repartition("slot").groupBy("slot", "other").agg(F.max("cosine").alias("cosine"))
     ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("cosine"), "other")))
     return ranked.filter(F.col("place") <= k)
